@@ -64,3 +64,14 @@ def word_count(text: Column) -> Column:
     one = F.trim(F.regexp_replace(flat, " {2,}", " "))
     blanks = F.char_length(one) - F.char_length(F.translate(one, " ", ""))
     return F.when(one == "", F.lit(0)).otherwise(blanks + 1).cast("long")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns renamed c0, c1, ... (names of a caller's columns cannot clash then) and their new names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(reversed(list(zip(docs.columns, names, strict=True))))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Undo ``numbered``."""
+    return df.select(*[F.col(f"c{i}") for i in range(len(columns))]).toDF(*columns)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality, url_filter
+from . import chat_format, decontaminate, mixing, ngram_join, quality, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_chat_format": chat_format.op3_chat_format,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_quality_rules": quality.op6_quality_rules,
     "op9_mixing": mixing.op9_mixing,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op3_chat_format": chat_format.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
     "op6_quality_rules": quality.ORACLE,
