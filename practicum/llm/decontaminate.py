@@ -255,7 +255,7 @@ def _hits(column: pa.Array, phrases: Phrases, most: int) -> Iterator[tuple[int,
     for r in range(len(off) - 1):
         a, b = off[r], off[r + 1]
         lo, hi = np.searchsorted(end, a, "right"), np.searchsorted(begin, b, "left")
-        spans = [[int(max(x, a) - a), int(min(y, b) - a)] for x, y in zip(begin[lo:hi], end[lo:hi], strict=True)]
+        spans = [[int(max(x, a) - a), int(min(y, b) - a)] for x, y in zip(begin[lo:hi], end[lo:hi], strict=True) if min(y, b) > max(x, a)]
         yield int(b - a), spans, [phrases.names[i] for i in pairs[at_row[r] : at_row[r + 1], 1]]
 
 
