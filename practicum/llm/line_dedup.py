@@ -15,19 +15,22 @@ equal ranks (repeated rows) are one occurrence; an empty table gives an empty re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, table
+from .common import SPACE_CHARS, scratch, table
 
 MAX_EDITS = 1
 MIN_CHARS = 24
+#: Up to this many 64-bit hashes are broadcast; more go through a shuffled join.
+BROADCAST_ROWS = 1_000_000
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """doc_id, line_no, line (outer white space off), h1 and h2: the line's hashes."""
+    space = F.lit(SPACE_CHARS)
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
-    trimmed = each.select("doc_id", "line_no", F.regexp_replace("raw", f"^{SPACE}+|{SPACE}+$", "").alias("line")).where(F.char_length("line") >= min_chars)
+    trimmed = each.select("doc_id", "line_no", F.btrim("raw", space).alias("line")).where(F.char_length("line") >= min_chars)
     return trimmed.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -43,45 +46,51 @@ def _key(length: Column, i: int, start: Column, size: Column) -> Column:
     return F.xxhash64(length, F.lit(i), F.col("line").substr(start.cast("int") + 1, size.cast("int")))
 
 
-def _filed(max_edits: int) -> Column:
-    n = F.char_length("line")
-    parts = max_edits + 1
-    return F.array(*[_key(n, i, *_segment(n, i, parts)) for i in range(parts)])
+def _keys(max_edits: int) -> Column:
+    """Structs (key, filed): keys a line is filed under, and keys of other lines' segments that
+    substrings of this line could be (null where such a substring would run over the line's end).
 
-
-def _probes(max_edits: int) -> Column:
-    """Keys of other lines' segments that substrings of this line could be."""
-    n, parts, keys = F.char_length("line"), max_edits + 1, []
+    Plain expressions without lambdas, so that they are compiled; keys of equal substrings are left
+    to the grouping that follows.
+    """
+    n, parts, out = F.char_length("line"), max_edits + 1, []
     for shorter in range(max_edits + 1):
         length = n - shorter
         for i in range(parts):
             start, size = _segment(length, i, parts)
             for shift in range(-max_edits, max_edits + 1):
-                left, right = abs(shift) <= i, abs(shift - shorter) <= max_edits - i
-                if left and right:
+                if abs(shift) <= i and abs(shift - shorter) <= max_edits - i:
                     at = start + shift
-                    keys.append(F.when((at >= 0) & (at + size <= n), _key(length, i, at, size)))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+                    key = _key(length, i, at, size)
+                    filed = shorter == shift == 0
+                    out.append(F.struct((key if filed else F.when((at >= 0) & (at + size <= n), key)).alias("key"), F.lit(filed).alias("filed")))
+    return F.array(*out)
+
 
+def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pairs of different lines within ``max_edits``: (a1, a2) and (b1, b2) hashes, distance.
 
-def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of different lines within ``max_edits``: (a1, a2) and (b1, b2) hashes, distance."""
+    Keys carry one hash of the line; texts are attached only to lines that share a key with another
+    line, and the join on the key verifies in its condition, so it puts out nothing but links.
+    """
     spark = docs.sparkSession
     lines = lines_of(docs, min_chars)
-
-    def keyed(keys: Column, a: str, b: str) -> DataFrame:
-        # equal lines collapse before the shuffle, in each task, and after it
-        return lines.select(F.explode(keys).alias("key"), F.col("h1").alias(a), F.col("h2").alias(b)).distinct()
-
-    pairs = keyed(_filed(max_edits), "a1", "a2").join(keyed(_probes(max_edits), "b1", "b2"), "key").where("a1 <> b1 OR a2 <> b2")
-    pairs = scratch(spark, pairs.select("a1", "a2", "b1", "b2").distinct(), "line-pairs")
-    wanted = pairs.select(F.inline(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"))))).distinct()
-    texts = scratch(spark, lines.join(scratch(spark, wanted, "lines-wanted"), ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line")), "lines")
-    left = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
-    right = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"))
-    both = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-    checked = both.select("a1", "a2", "b1", "b2", F.levenshtein("a", "b", max_edits).alias("distance"))
-    return checked.where("distance >= 0")
+    # equal lines collapse in each task before the shuffle; a key needs a filed line and another one
+    keyed = lines.select("h1", F.inline(_keys(max_edits))).where("key IS NOT NULL").groupBy("key", "h1").agg(F.max("filed").alias("filed"))
+    w = Window.partitionBy("key")
+    met = keyed.select("key", "h1", "filed", F.count("*").over(w).alias("n"), F.max("filed").over(w).alias("any")).where("n > 1 AND any")
+    met = scratch(spark, met.select("key", "h1", "filed"), "line-keys")
+    wanted = scratch(spark, met.select("h1").distinct(), "lines-wanted")
+    small = wanted.count() <= broadcast_rows
+    texts = lines.join(F.broadcast(wanted) if small else wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    rows = met.join(scratch(spark, texts, "lines"), "h1")
+    a = rows.where("filed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
+    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"), F.col("filed").alias("b_filed"))
+    # two filed lines of one key meet once
+    once = ~F.col("b_filed") | (F.struct("a1", "a2") < F.struct("b1", "b2"))
+    near = F.levenshtein("a", "b", max_edits)
+    linked = a.join(b, (a["key"] == b["key"]) & once & (near >= 0) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))))
+    return scratch(spark, linked.select("a1", "a2", "b1", "b2", near.alias("distance")).distinct(), "line-links")
 
 
 def duplicates(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
