@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.history import counters, exploded
 from ..operators.parse import Steps
+from ..session import written
 
 STUDENT_L2 = 1.0
 CELLS = "obs_id long, block string, col string, value double"
@@ -91,7 +92,8 @@ def _finish(design: Design, identify: bool) -> Design:
         return design
     from ..operators.identify import identify as run
 
-    return run(design)
+    # identification passes over the cells several times: derive them once
+    return run(replace(design, obs=written(design.obs, "obs"), cells=written(design.cells, "cells"), columns=written(design.columns, "columns")))
 
 
 def build_afm_design(steps: Steps | DataFrame, *, learnsphere_compat: bool = False, student_l2: float | None = None, bound_slopes: bool = False, identify: bool | None = None, recompute_opportunities: bool = False) -> Design:
