@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,18 @@ _32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
+class _Places(dict):
+    """Numbers of pieces in order of first sight; ``new`` lists those without ids yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = place = len(self)
+        self.new.append(piece)
+        return place
+
+
 class Encoder:
     """Texts to ids with one tokenizer file."""
 
@@ -66,36 +79,30 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.ends: list[int] = [0]
-
-    def _learn(self, missing: list[str]) -> None:
-        for piece, made in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.cache[piece] = len(self.ends) - 1
-            self.ids.extend(made.ids)
-            self.ends.append(len(self.ids))
+        self.places = _Places()
+        self.ids = array("i")
+        self.ends = array("q", [0])
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         plain = [_PLAIN.fullmatch(t) is not None for t in texts]
-        odd = iter(self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        if len(self.cache) > CACHE_PIECES:
+        odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        if len(self.places) > CACHE_PIECES:
             self._reset()
-        cut = [self.pieces(t) if p else None for t, p in zip(texts, plain, strict=True)]
-        known = self.cache.get
-        places = [None if c is None else list(map(known, c)) for c in cut]
-        missing = {x for c, at in zip(cut, places, strict=True) if c and None in at for x, k in zip(c, at, strict=True) if k is None}
-        if missing:
-            self._learn(sorted(missing))
-            places = [list(map(known, c)) if c and None in at else at for c, at in zip(cut, places, strict=True)]
-        ids, ends = np.array(self.ids, np.int32), np.array(self.ends, np.int64)
-        out = []
-        for at in places:
+        get = self.places.__getitem__
+        found = [np.array(list(map(get, self.pieces(t))), np.int64) if p else None for t, p in zip(texts, plain, strict=True)]
+        for made in self._whole(self.places.new):
+            self.ids.extend(made)
+            self.ends.append(len(self.ids))
+        self.places.new.clear()
+        ids, ends, out = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64), []
+        for at in found:
             if at is None:
-                out.append(np.array(next(odd).ids, np.int32))
+                out.append(np.array(next(odd), np.int32))
                 continue
-            at = np.array(at, np.int64)
             size = ends[at + 1] - ends[at]
             total = np.cumsum(size)
             out.append(ids[np.repeat(ends[at] - (total - size), size) + np.arange(total[-1] if len(at) else 0)])
