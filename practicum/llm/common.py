@@ -6,6 +6,7 @@ the folder that ``spark.checkpoint.dir`` names, so a lost executor costs recompu
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -37,9 +38,22 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back: lineage ends there."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that no later step reads; the collection that follows lets the driver
+    tell executors to remove the shuffle files of finished steps."""
+    jvm = spark.sparkContext._jvm
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def materialised(df: DataFrame, *, keep: list[str], **made: Column) -> DataFrame:

@@ -9,8 +9,10 @@ in some shard:
    its first member as representative, which goes on to the next minimum hash. A third of all rows
    being near copies of one another shrinks here to a few representatives, shard by shard.
 2. *Completion, exact.* Each set is ordered rarest first (frequent shingles, known from a bounded
-   sketch, last; the order decides cost, never results) and its prefix is emitted: two sets that
-   link share a shingle of their prefixes. A shingle whose texts are already in one class is done.
+   sketch, last; the order decides cost, never results) and its prefix is emitted, longer than the
+   shortest possible one by ``extra`` shingles, ``EXTRA`` hundredths of the set: two sets that link
+   then share at least the smaller set's ``extra`` of their prefixes. A shingle whose texts are
+   already in one class is done; so is a text with fewer undone shingles than any partner demands.
    For the others first one member per class is searched, then all that are left; a group larger
    than ``chunk`` is searched block by block.
 
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytewords import mix64, pieces, shingle_sets
-from .common import numbered, restored, scratch, table
+from .common import drop, numbered, restored, scratch, table
 
 SHINGLE = 5
 THRESHOLD = 75
@@ -48,6 +50,10 @@ ROUNDS = 2
 SHARD_SHINGLES = 400_000
 PART_BYTES = 2_000_000
 CHUNK = 1_000
+#: By how many hundredths of a set its prefix is longer than the least.
+EXTRA = 10
+#: Up to this many ids (8 bytes each) are broadcast to fetch texts.
+BROADCAST_IDS = 1_000_000
 #: Frequent shingles: reported by a task from this count on, kept up to this many.
 FREQUENT_IN_TASK, FREQUENT_KEPT = 4, 200_000
 _SEEDS = np.array([0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F, 0x510E527FADE682D1], np.uint64)
@@ -98,7 +104,7 @@ class Shard:
             return
         found.sort(key=len)
         longest = len(found[-1])
-        n_long = min(least - 1, int(least / (0.0085 * np.log2(longest + 1) * longest + 1))) if longest > 1 else 0
+        n_long = min(least - 1, int(least / (0.0085 * np.log2(longest) + 1))) if longest > 1 else 0
         short, long = found[: len(found) - n_long], found[len(found) - n_long :]
         for leader, run in groupby(heapq.merge(*short) if longest > 1 else sorted(x[0] for x in short)):
             n = sum(1 for _ in run)
@@ -193,27 +199,41 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, " + ", ".join(f"m{i} long" for i in range(ROUNDS)))
 
 
+def _demanded(n: int, threshold: int) -> int:
+    """Shared prefix shingles that a set of ``n`` needs for any link: the extra of the smallest
+    possible partner."""
+    return max(1, -(-EXTRA * -(-threshold * n // 100) // 100))
+
+
 def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> DataFrame:
-    """Per text its prefix shingles: enough of the rarest that linked texts share one."""
+    """Per text its prefix shingles, enough of the rarest that linked texts share one: ``tokens``,
+    and apart from them those that are frequent (``often``); ``least``, how many must be shared."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_KEPT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
         for batch in batches:
             for part in pieces(batch, "text", PART_BYTES):
-                out = []
+                rare: list[np.ndarray] = []
+                rest: list[np.ndarray] = []
+                least = []
                 for s in shingle_sets(part.column(1), k):
-                    most = len(s) - -(-threshold * len(s) // 100) + 1 if len(s) else 0
+                    n = len(s)
+                    # the first shared shingles, as many as both sets' extra, lie within both prefixes
+                    most = min(n, n - -(-threshold * n // 100) + max(1, -(-EXTRA * n // 100))) if n else 0
+                    least.append(_demanded(n, threshold))
+                    common = np.zeros(len(s), bool)
                     if len(often) and most:
-                        at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        common = often[at] == s
-                        s = np.concatenate([s[~common][:most], s[common]])
-                    out.append(_signed(s[:most]))
-                sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "tokens"])
+                        common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    rare.append(s[~common][:most])
+                    rest.append(s[common][: most - len(rare[-1])])
+                lists = []
+                for found in (rare, rest):
+                    sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+                    lists.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(_signed(np.concatenate(found)))))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(least, pa.int32()), *lists], names=["doc_id", "least", "tokens", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, least int, tokens array<long>, often array<long>")
 
 
 def search(cells: DataFrame, k: int, threshold: int, *, whole_cells: bool) -> DataFrame:
@@ -279,18 +299,36 @@ def _relabel(spark: SparkSession, classes: DataFrame, links: DataFrame, tag: str
     return scratch(spark, made, tag)
 
 
-def _cells(groups: DataFrame, chunk: int) -> DataFrame:
-    """(token, doc_id, comp) to cells: tokens with the same texts once, large groups by blocks."""
-    of = groups.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("s2"))
-    one = of.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
-    rows = groups.join(one, "token").withColumn("blocks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def _cells(spark: SparkSession, groups: DataFrame, chunk: int) -> DataFrame:
+    """(token, doc_id, comp) to cells in which all texts of a token meet.
+
+    Texts joined by tokens, directly or through others, form blocks; a block of at most ``chunk``
+    texts is one cell, so each of its texts is sent once. In larger blocks every token is a cell of
+    its own (tokens with the same texts count once), cut into pairs of parts where it is large.
+    """
+    heads = groups.groupBy("token").agg(F.min("doc_id").alias("head"))
+    edges = groups.join(heads, "token").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    blocks = components(spark, edges)
+    sizes = blocks.groupBy("root").agg((F.count("*") + 1).alias("texts"))
+    of = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "root")
+    of = of.select(F.col("node").alias("doc_id"), F.xxhash64("root").alias("cell"), (F.col("texts") <= chunk).alias("small"))
+    placed = scratch(spark, groups.join(of, "doc_id"), "placed")
+    whole = placed.where("small").select("cell", "doc_id", "comp").distinct()
+    rest = placed.where("NOT small").select("token", "doc_id", "comp")
+    if rest.isEmpty():
+        return whole
+    per = rest.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("s2"))
+    one = per.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
+    rows = rest.join(one, "token").withColumn("blocks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return pairs.select(F.xxhash64("token", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "doc_id", "comp").distinct()
+    return whole.unionByName(pairs.select(F.xxhash64("token", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "doc_id", "comp").distinct())
 
 
-def _with_text(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """Attach texts; the ids wanted are few, so a written table lets the planner see their size."""
-    return cells.join(docs.where(F.col("doc_id").isNotNull()), "doc_id")
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts of a written table of ids. A measured, small number of ids goes to every task, which
+    spares the shuffle of all texts; more of them take part in a shuffled join."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
 
 
 def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
@@ -316,7 +354,7 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
         some = reps.join(often, f"m{i}").select("rep")
         shared = some if shared is None else shared.unionByName(some)
     wanted = scratch(spark, shared.distinct().withColumnRenamed("rep", "doc_id"), "wanted")
-    pool = scratch(spark, wanted.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").join(docs.select("doc_id", "text"), "doc_id"), "pool")
+    pool = scratch(spark, _texts(wanted, docs).join(reps.withColumnRenamed("rep", "doc_id"), "doc_id"), "pool")
     labels = classes.select("doc_id", "comp")
     now = reps.select(F.col("rep").alias("doc_id"), "comp")
     for i in range(ROUNDS):
@@ -327,6 +365,7 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
         # with unique ids each text was in one shard, so what a shard found is a star
         labels = _relabel(spark, labels, links, "labels", stars=unique)
         now = now.select("doc_id").join(labels, "doc_id")
+    drop(spark, pool, wanted)
     labels = _complete(spark, docs, described, labels, reps.select(F.col("rep").alias("doc_id")), k, threshold, chunk)
     return rows.join(labels, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
@@ -336,28 +375,46 @@ def _complete(spark: SparkSession, docs: DataFrame, described: DataFrame, labels
     often = described.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_KEPT)
     frequent = np.sort(np.array([r.d1 for r in often.select("d1").collect()], np.int64).view(np.uint64))
     known = reps.distinct().join(labels, "doc_id")
-    tokens = scratch(spark, prefixes(docs, frequent, k, threshold).join(known, "doc_id"), "prefixes").select(F.explode("tokens").alias("token"), "doc_id", "comp")
-    mixed = scratch(spark, tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "mixed")
-    groups = scratch(spark, tokens.join(mixed, "token").distinct(), "groups")
+    tokens = scratch(spark, prefixes(docs, frequent, k, threshold).join(known, "doc_id"), "prefixes")
+    # rare shingles: their few texts meet in one shuffle; frequent ones are pre-aggregated by task
+    rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp")
+    together = Window.partitionBy("token")
+    rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi")).where("lo <> hi").select("token", "doc_id", "comp")
+    often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp")
+    mixed = often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    undone = scratch(spark, rare.unionByName(often.join(mixed, "token")).distinct(), "undone")
+    # rows of one doc_id with different texts are one node: the least of their demands holds
+    least = tokens.groupBy("doc_id").agg(F.min("least").alias("least"))
+    able = undone.groupBy("doc_id").agg(F.count("*").alias("n")).join(least, "doc_id").where("n >= least").select("doc_id")
+    undone = undone.join(able, "doc_id")
+    several = undone.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    groups = scratch(spark, undone.join(several, "token").select("token", "doc_id", "comp"), "groups")
+    drop(spark, tokens)
     for step in ("one of each class", "all"):
         if groups.isEmpty():
             break
         if step == "all":
             part = groups.select("token", "doc_id", "comp")
         else:
-            part = groups.groupBy("token", "comp").agg(F.min("doc_id").alias("doc_id")).select("token", "doc_id", "comp")
-        cells = scratch(spark, _cells(part, chunk), "cells")
-        texts = scratch(spark, cells.select("doc_id").distinct().join(docs.select("doc_id", "text"), "doc_id"), "texts")
-        found = scratch(spark, search(_dealt(cells.join(texts, "doc_id")), k, threshold, whole_cells=True), "found")
+            part = scratch(spark, groups.groupBy("token", "comp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")), "firsts")
+            # where every class had one member here, all of the group is searched now
+            later = part.groupBy("token").agg(F.max("members").alias("m")).where("m > 1").select("token")
+        cells = scratch(spark, _cells(spark, part.select("token", "doc_id", "comp"), chunk), "cells")
+        ids = scratch(spark, cells.select("doc_id").distinct(), "ids")
+        found = scratch(spark, search(_dealt(_texts(ids, docs).join(cells, "doc_id")), k, threshold, whole_cells=True), "found")
+        drop(spark, cells, ids)
         # a shard's root is a text; what links are its class and the root's class
         by = labels.select(F.col("doc_id").alias("root"), F.col("comp").alias("to"))
-        links = found.join(labels, "doc_id").join(by, "root").where("comp <> to").select("comp", F.col("to").alias("root")).distinct()
+        links = found.where("doc_id <> root").distinct().join(labels, "doc_id").join(by, "root").where("comp <> to").select("comp", F.col("to").alias("root")).distinct()
         links = scratch(spark, links, "links")
+        if step == "all":
+            return labels if links.isEmpty() else _relabel(spark, labels, links, "labels")
+        rest = groups.join(later, "token").select("token", "doc_id", "comp")
         if not links.isEmpty():
             labels = _relabel(spark, labels, links, "labels")
-            groups = groups.drop("comp").join(labels, "doc_id")
-        several = groups.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        groups = scratch(spark, groups.join(several, "token"), "groups")
+            rest = rest.drop("comp").join(labels, "doc_id")
+        several = rest.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        groups = scratch(spark, rest.join(several, "token"), "groups")
     return labels
 
 
