@@ -13,8 +13,9 @@ in some shard:
    shortest possible one by ``extra`` shingles, ``EXTRA`` hundredths of the set: two sets that link
    then share at least the smaller set's ``extra`` of their prefixes. A shingle whose texts are
    already in one class is done; so is a text with fewer undone shingles than any partner demands.
-   For the others first one member per class is searched, then all that are left; a group larger
-   than ``chunk`` is searched block by block.
+   The texts of a shingle are split at gaps of their set sizes that no link can cross. Of what is
+   left first one member per class is searched, then all; a block of texts larger than ``chunk`` is
+   searched in pairs of parts, a very large one shingle by shingle.
 
 A shard's search is DivideSkip: the inverted lists of a query's shingles are split into the longest
 ones and the rest; the short lists are merged with a heap and candidates that reach ``T - L`` are
@@ -50,6 +51,8 @@ ROUNDS = 2
 SHARD_SHINGLES = 400_000
 PART_BYTES = 2_000_000
 CHUNK = 1_000
+#: Blocks of up to this many chunks are cut into parts, larger ones into their shingles' groups.
+MOST_PARTS = 8
 #: By how many hundredths of a set its prefix is longer than the least.
 EXTRA = 10
 #: Up to this many ids (8 bytes each) are broadcast to fetch texts.
@@ -207,7 +210,8 @@ def _demanded(n: int, threshold: int) -> int:
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> DataFrame:
     """Per text its prefix shingles, enough of the rarest that linked texts share one: ``tokens``,
-    and apart from them those that are frequent (``often``); ``least``, how many must be shared."""
+    and apart from them those that are frequent (``often``); ``least``, how many must be shared;
+    ``n``, the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_KEPT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,12 +220,13 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> D
             for part in pieces(batch, "text", PART_BYTES):
                 rare: list[np.ndarray] = []
                 rest: list[np.ndarray] = []
-                least = []
+                least, sizes_of = [], []
                 for s in shingle_sets(part.column(1), k):
                     n = len(s)
                     # the first shared shingles, as many as both sets' extra, lie within both prefixes
                     most = min(n, n - -(-threshold * n // 100) + max(1, -(-EXTRA * n // 100))) if n else 0
                     least.append(_demanded(n, threshold))
+                    sizes_of.append(n)
                     common = np.zeros(len(s), bool)
                     if len(often) and most:
                         common = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
@@ -231,9 +236,9 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> D
                 for found in (rare, rest):
                     sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                     lists.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(_signed(np.concatenate(found)))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(least, pa.int32()), *lists], names=["doc_id", "least", "tokens", "often"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes_of, pa.int64()), pa.array(least, pa.int32()), *lists], names=["doc_id", "n", "least", "tokens", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, least int, tokens array<long>, often array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, least int, tokens array<long>, often array<long>")
 
 
 def search(cells: DataFrame, k: int, threshold: int, *, whole_cells: bool) -> DataFrame:
@@ -299,29 +304,49 @@ def _relabel(spark: SparkSession, classes: DataFrame, links: DataFrame, tag: str
     return scratch(spark, made, tag)
 
 
+def _size_runs(groups: DataFrame, threshold: int) -> DataFrame:
+    """(token, doc_id, comp, n) with each token's texts split into runs of set sizes, a token of its
+    own each, wherever the next size is too large for a link; runs of one class are left out.
+
+    Sizes are aggregated before they are ordered: a token has no more of them than sizes occur.
+    """
+    sizes = groups.groupBy("token", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    rising = Window.partitionBy("token").orderBy("n")
+    gap = F.coalesce((F.lag("n").over(rising) * 100 < F.col("n") * threshold).cast("int"), F.lit(0))
+    runs = sizes.withColumn("gap", gap).withColumn("run", F.sum("gap").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("token", "run")
+    kept = runs.select("token", "n", "run", F.min("lo").over(run).alias("lo"), F.max("hi").over(run).alias("hi")).where("lo <> hi")
+    return groups.join(kept.select("token", "n", "run"), ["token", "n"]).select(F.xxhash64("token", "run").alias("token"), "doc_id", "comp", "n")
+
+
 def _cells(spark: SparkSession, groups: DataFrame, chunk: int) -> DataFrame:
     """(token, doc_id, comp) to cells in which all texts of a token meet.
 
     Texts joined by tokens, directly or through others, form blocks; a block of at most ``chunk``
-    texts is one cell, so each of its texts is sent once. In larger blocks every token is a cell of
-    its own (tokens with the same texts count once), cut into pairs of parts where it is large.
+    texts is one cell, so each of its texts is sent once. A larger one is cut into pairs of parts.
+    Of more than ``MOST_PARTS`` parts every token is a block of its own (tokens with the same texts
+    count once), cut likewise.
     """
     heads = groups.groupBy("token").agg(F.min("doc_id").alias("head"))
     edges = groups.join(heads, "token").where("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     blocks = components(spark, edges)
-    sizes = blocks.groupBy("root").agg((F.count("*") + 1).alias("texts"))
+    sizes = blocks.groupBy("root").agg(F.ceil((F.count("*") + 1) / chunk).cast("int").alias("parts"))
     of = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "root")
-    of = of.select(F.col("node").alias("doc_id"), F.xxhash64("root").alias("cell"), (F.col("texts") <= chunk).alias("small"))
-    placed = scratch(spark, groups.join(of, "doc_id"), "placed")
-    whole = placed.where("small").select("cell", "doc_id", "comp").distinct()
-    rest = placed.where("NOT small").select("token", "doc_id", "comp")
+    placed = scratch(spark, groups.join(of.select(F.col("node").alias("doc_id"), "root", "parts"), "doc_id"), "placed")
+
+    def paired(rows: DataFrame, key: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+        other = rows.withColumn("b", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        # a part meets itself wherever it meets another
+        return other.where("parts = 1 OR b <> o").select(F.xxhash64(key, F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "doc_id", "comp")
+
+    whole = paired(placed.where(F.col("parts") <= MOST_PARTS).select("root", "parts", "doc_id", "comp").distinct(), "root")
+    rest = placed.where(F.col("parts") > MOST_PARTS).select("token", "doc_id", "comp")
     if rest.isEmpty():
         return whole
     per = rest.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(1), "doc_id").cast("decimal(38,0)")).alias("s2"))
-    one = per.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size")
-    rows = rest.join(one, "token").withColumn("blocks", F.ceil(F.col("size") / chunk).cast("int")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return whole.unionByName(pairs.select(F.xxhash64("token", F.least("b", "o"), F.greatest("b", "o")).alias("cell"), "doc_id", "comp").distinct())
+    one = per.groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / chunk).cast("int").alias("parts"))
+    return whole.unionByName(paired(rest.join(one, "token"), "token").distinct())
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -377,19 +402,17 @@ def _complete(spark: SparkSession, docs: DataFrame, described: DataFrame, labels
     known = reps.distinct().join(labels, "doc_id")
     tokens = scratch(spark, prefixes(docs, frequent, k, threshold).join(known, "doc_id"), "prefixes")
     # rare shingles: their few texts meet in one shuffle; frequent ones are pre-aggregated by task
-    rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp")
+    rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp", "n")
     together = Window.partitionBy("token")
-    rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi")).where("lo <> hi").select("token", "doc_id", "comp")
-    often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp")
+    rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi")).where("lo <> hi").select("token", "doc_id", "comp", "n")
+    often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp", "n")
     mixed = often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     undone = scratch(spark, rare.unionByName(often.join(mixed, "token")).distinct(), "undone")
     # rows of one doc_id with different texts are one node: the least of their demands holds
     least = tokens.groupBy("doc_id").agg(F.min("least").alias("least"))
     able = undone.groupBy("doc_id").agg(F.count("*").alias("n")).join(least, "doc_id").where("n >= least").select("doc_id")
-    undone = undone.join(able, "doc_id")
-    several = undone.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    groups = scratch(spark, undone.join(several, "token").select("token", "doc_id", "comp"), "groups")
-    drop(spark, tokens)
+    groups = scratch(spark, _size_runs(undone.join(able, "doc_id"), threshold).select("token", "doc_id", "comp"), "groups")
+    drop(spark, tokens, undone)
     for step in ("one of each class", "all"):
         if groups.isEmpty():
             break

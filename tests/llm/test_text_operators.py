@@ -66,7 +66,9 @@ def brute_classes(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-def test_ngram_classes_equal_all_pairs(docs, texts):
+@pytest.mark.parametrize("most_parts", [1, 100])
+def test_ngram_classes_equal_all_pairs(docs, texts, monkeypatch, most_parts):
+    monkeypatch.setattr(ngram_join, "MOST_PARTS", most_parts)
     rows = ngram_join.classes_of(docs, chunk=3).collect()
     assert len(rows) == len(texts) + 4
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None}
