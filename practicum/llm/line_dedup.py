@@ -8,9 +8,10 @@ Candidates meet in one equi-join on a hashed key and are verified with the built
 distance (``levenshtein`` with a threshold; Spark has no bit-parallel one among its functions).
 
 The earliest line, by (doc_id, line number), of each linked pair stays; the later one goes with its
-distance. Lines shorter than ``min_chars`` code points take no part: they are too short for an edit
-to be noise. Defined results: null and blank texts have no lines; rows without doc_id rank last;
-equal ranks (repeated rows) are one occurrence; an empty table gives an empty result.
+distance. Lines shorter than ``min_chars`` code points are too short for an edit to be noise: they go
+only where they are equal. Defined results: blank lines are no lines, so null and blank texts have
+none; rows without doc_id rank last; equal ranks (repeated rows) are one occurrence; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MIN_CHARS = 24
 BROADCAST_ROWS = 1_000_000
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """doc_id, line_no, line (outer white space off), h1 and h2: the line's hashes."""
     space = F.lit(SPACE_CHARS)
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
@@ -100,7 +101,7 @@ def duplicates(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     """
     spark = docs.sparkSession
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    first = scratch(spark, lines_of(docs, min_chars).groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")), "line-first")
+    first = scratch(spark, lines_of(docs).groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")), "line-first")
     links = near_lines(docs, max_edits=max_edits, min_chars=min_chars)
     a = first.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("fa"))
     b = first.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("first").alias("fb"))
@@ -111,7 +112,7 @@ def duplicates(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     going = first.join(near, ["h1", "h2"], "left").where("first <> last OR near IS NOT NULL")
     going = scratch(spark, going.select("h1", "h2", "first", "near"), "lines-going")
     salted = going.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    all_ = lines_of(docs, min_chars).select("doc_id", "line_no", "h1", "h2", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(8)).cast("int").alias("salt"))
+    all_ = lines_of(docs).select("doc_id", "line_no", "h1", "h2", F.pmod(F.xxhash64("doc_id", "line_no"), F.lit(8)).cast("int").alias("salt"))
     own = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.line_no") == F.col("line_no"))
     to = F.coalesce("near.to", "first")
     return all_.join(salted, ["h1", "h2", "salt"]).where(~own | F.col("near").isNotNull()).select(

@@ -308,3 +308,9 @@ def test_line_dedup_equals_all_pairs(spark, empty, most):
     got = {(r.doc_id, r.line_no, r.first_doc_id, r.first_line_no, r.distance) for r in line_dedup.duplicates(docs, max_edits=most, min_chars=6).collect()}
     assert got == want
     assert line_dedup.duplicates(empty).count() == 0
+
+
+def test_short_lines_go_where_equal(spark):
+    rows = [(1, "All rights reserved.\n\nx"), (2, "All rights reserved!\n\n  All rights reserved.\nx"), (3, "All rights reserved")]
+    got = line_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in got} == {(2, 2, 1, 0, 0), (2, 3, 1, 2, 0)}
