@@ -8,7 +8,7 @@ Candidates meet in one equi-join on a hashed key and are verified with the built
 distance (``levenshtein`` with a threshold; Spark has no bit-parallel one among its functions).
 
 The earliest line, by (doc_id, line number), of each linked pair stays; the later one goes with its
-distance. Lines shorter than ``min_chars`` code points are too short for an edit to be noise: they go
+distance. Lines shorter than ``min_chars`` code points (``CHARS_PER_EDIT`` for each edit) are too short for an edit to be noise: they go
 only where they are equal. Defined results: blank lines are no lines, so null and blank texts have
 none; rows without doc_id rank last; equal ranks (repeated rows) are one occurrence; an empty table
 gives an empty result.
@@ -16,15 +16,20 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, scratch, table
 
-MAX_EDITS = 1
-MIN_CHARS = 24
+MAX_EDITS = 3
+#: An edit takes so many code points of a line at least: with three, lines of 24 or more take part.
+CHARS_PER_EDIT = 8
 #: Up to this many 64-bit hashes are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1_000_000
+#: All 26 key expressions of three edits in one step are too many to be compiled and take two to three times as long.
+KEYS_AT_ONCE = 4
 
 
 def lines_of(docs: DataFrame, min_chars: int = 1) -> DataFrame:
@@ -32,7 +37,8 @@ def lines_of(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     space = F.lit(SPACE_CHARS)
     each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
     trimmed = each.select("doc_id", "line_no", F.btrim("raw", space).alias("line")).where(F.char_length("line") >= min_chars)
-    return trimmed.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    # the lowest bit of h1 is free for a mark
+    return trimmed.withColumns({"h1": F.xxhash64("line").bitwiseAND(F.lit(-2).cast("long")), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -47,11 +53,11 @@ def _key(length: Column, i: int, start: Column, size: Column) -> Column:
     return F.xxhash64(length, F.lit(i), F.col("line").substr(start.cast("int") + 1, size.cast("int")))
 
 
-def _keys(max_edits: int) -> Column:
-    """Structs (key, filed): keys a line is filed under, and keys of other lines' segments that
+def _keys(max_edits: int) -> list[Column]:
+    """Arrays of structs (key, filed): keys a line is filed under, and keys of other lines' segments that
     substrings of this line could be (null where such a substring would run over the line's end).
 
-    Plain expressions without lambdas, so that they are compiled; keys of equal substrings are left
+    Plain expressions without lambdas, a few to an array, so that they are compiled; keys of equal substrings are left
     to the grouping that follows.
     """
     n, parts, out = F.char_length("line"), max_edits + 1, []
@@ -65,26 +71,29 @@ def _keys(max_edits: int) -> Column:
                     key = _key(length, i, at, size)
                     filed = shorter == shift == 0
                     out.append(F.struct((key if filed else F.when((at >= 0) & (at + size <= n), key)).alias("key"), F.lit(filed).alias("filed")))
-    return F.array(*out)
+    return [F.array(*out[i : i + KEYS_AT_ONCE]) for i in range(0, len(out), KEYS_AT_ONCE)]
 
 
-def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs of different lines within ``max_edits``: (a1, a2) and (b1, b2) hashes, distance.
 
     Keys carry one hash of the line; texts are attached only to lines that share a key with another
     line, and the join on the key verifies in its condition, so it puts out nothing but links.
     """
     spark = docs.sparkSession
-    lines = lines_of(docs, min_chars)
-    # equal lines collapse in each task before the shuffle; a key needs a filed line and another one
-    keyed = lines.select("h1", F.inline(_keys(max_edits))).where("key IS NOT NULL").groupBy("key", "h1").agg(F.max("filed").alias("filed"))
+    # equal lines collapse before they get keys, so that keys are shuffled once
+    lines = lines_of(docs, CHARS_PER_EDIT * max_edits if min_chars is None else min_chars).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    lines = scratch(spark, lines, "lines")
+    keyed = reduce(DataFrame.unionAll, [lines.select("h1", F.inline(keys)) for keys in _keys(max_edits)]).where("key IS NOT NULL").select("key", F.col("h1").bitwiseOR(F.col("filed").cast("long")).alias("marked"))
     w = Window.partitionBy("key")
-    met = keyed.select("key", "h1", "filed", F.count("*").over(w).alias("n"), F.max("filed").over(w).alias("any")).where("n > 1 AND any")
-    met = scratch(spark, met.select("key", "h1", "filed"), "line-keys")
+    line, filed = F.col("marked").bitwiseAND(F.lit(-2).cast("long")), F.col("marked").bitwiseAND(F.lit(1).cast("long")) == 1
+    # a key needs a filed line and another one
+    met = keyed.select("key", line.alias("h1"), filed.alias("filed"), F.min(line).over(w).alias("lo"), F.max(line).over(w).alias("hi"), F.max(filed).over(w).alias("any"))
+    met = scratch(spark, met.where("lo <> hi AND any").groupBy("key", "h1").agg(F.max("filed").alias("filed")), "line-keys")
     wanted = scratch(spark, met.select("h1").distinct(), "lines-wanted")
     small = wanted.count() <= broadcast_rows
-    texts = lines.join(F.broadcast(wanted) if small else wanted, "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    rows = met.join(scratch(spark, texts, "lines"), "h1")
+    texts = scratch(spark, lines.join(F.broadcast(wanted) if small else wanted, "h1"), "lines-met")
+    rows = met.join(texts, "h1")
     a = rows.where("filed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"))
     b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"), F.col("filed").alias("b_filed"))
     # two filed lines of one key meet once
@@ -94,7 +103,7 @@ def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int =
     return scratch(spark, linked.select("a1", "a2", "b1", "b2", near.alias("distance")).distinct(), "line-links")
 
 
-def duplicates(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def duplicates(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int | None = None) -> DataFrame:
     """Occurrences to remove: doc_id, line_no, first_doc_id, first_line_no, distance.
 
     ``first`` is the earliest line equal or linked to this one that ranks before it.

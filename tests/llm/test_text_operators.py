@@ -314,3 +314,10 @@ def test_short_lines_go_where_equal(spark):
     rows = [(1, "All rights reserved.\n\nx"), (2, "All rights reserved!\n\n  All rights reserved.\nx"), (3, "All rights reserved")]
     got = line_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(r) for r in got} == {(2, 2, 1, 0, 0), (2, 3, 1, 2, 0)}
+
+
+def test_registered_line_dedup_finds_a_changed_word(spark, tmp_path):
+    line = "This report was written for the members of the committee and for nobody else, page after page."
+    rows = [(1, line), (2, "Something new.\n" + line.replace("nobody", "somebody")), (3, line.replace("new", "old").replace("written", "read"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()] == [(2, 1, 1, 0, 3)]
