@@ -368,9 +368,10 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
     merged = nodes.groupBy("doc_id").agg(F.min("rep").alias("comp"), F.max("rep").alias("other"))
     classes = scratch(spark, merged.select("doc_id", "comp", "other"), "classes")
     twice = classes.where("comp <> other")
-    unique = twice.isEmpty()
-    if not unique:
+    single = twice.isEmpty()
+    if not single:
         classes = _relabel(spark, classes, nodes.join(twice.select("doc_id", "comp"), "doc_id").select("comp", F.col("rep").alias("root")), "classes")
+    unique = single and texts.count() == classes.count()
     # equal sets once: the representative of each is searched
     reps = scratch(spark, first.join(classes.select(F.col("doc_id").alias("rep"), "comp"), "rep").join(texts, [texts["doc_id"] == F.col("rep"), texts["d1"] == first["d1"], texts["d2"] == first["d2"]]).select("rep", "comp", *[f"m{i}" for i in range(ROUNDS)]), "reps")
     shared = None
@@ -387,7 +388,8 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
         several = live.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1").select("cell")
         found = scratch(spark, search(_dealt(live.join(several, "cell")), k, threshold, whole_cells=False), "found")
         links = found.where("doc_id <> root").select(F.col("doc_id").alias("comp"), "root")
-        # with unique ids each text was in one shard, so what a shard found is a star
+        # with unique ids each text was in one shard, so what a shard found is a star; a repeated
+        # row may be in two shards, with a root in each
         labels = _relabel(spark, labels, links, "labels", stars=unique)
         now = now.select("doc_id").join(labels, "doc_id")
     drop(spark, pool, wanted)

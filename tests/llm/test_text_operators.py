@@ -321,3 +321,11 @@ def test_registered_line_dedup_finds_a_changed_word(spark, tmp_path):
     rows = [(1, line), (2, "Something new.\n" + line.replace("nobody", "somebody")), (3, line.replace("new", "old").replace("written", "read"))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()] == [(2, 1, 1, 0, 3)]
+
+
+def test_ngram_join_repeated_rows_in_two_shards(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARD_SHINGLES", 400)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base, f"x{i}"])) for i in range(24) for _ in range(3)]
+    got = ngram_join.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i, _ in rows]
