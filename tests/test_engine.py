@@ -317,3 +317,12 @@ def test_shared_modules_do_not_import_the_text_operators():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert ".llm" not in path.read_text() and "corpus_pipeline" not in path.read_text(), path
+
+
+def test_cross_validation_of_designs_beyond_one_process(spark, steps, monkeypatch):
+    design, options = {"PFA": build_pfa_design(steps)}, {"n_folds": 2, "scheme": "student_blocked", "max_iter": 2}
+    local = crossval.paired_cross_validate(design, **options).toPandas()
+    monkeypatch.setattr(crossval.solver, "LOCAL_CELLS", 10)
+    spread = crossval.paired_cross_validate(design, **options).toPandas()
+    key = ["seed", "fold", "model"]
+    pd.testing.assert_frame_equal(local.sort_values(key, ignore_index=True), spread.sort_values(key, ignore_index=True))
