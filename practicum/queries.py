@@ -113,9 +113,9 @@ def outcome_vocabulary(spark, sf):
 @query(_BASE + "d AS (SELECT row_id, k FROM e) SELECT row_id, 'd' || CAST(k // 10 AS VARCHAR) AS first_kc, CAST(2 AS BIGINT) AS last_opp, CAST(1 AS INT) AS n_kcs FROM d WHERE k % 5 = 0")
 def duplicate_kc_rows(spark, sf):
     kc = F.col("KC (Fine)")
-    table = steps_from_events(spark, sf).where(F.substring(kc, 2, 9).cast("int") % 5 == 0)
+    table, fifth = steps_from_events(spark, sf), F.substring(kc, 2, 9).cast("int") % 5 == 0
     name = F.concat(F.lit("d"), F.floor(F.substring(kc, 2, 9).cast("int") / 10).cast("string"))
-    doubled = table.withColumn("KC (Fine)", F.concat(name, F.lit("~~"), name)).withColumn("Opportunity (Fine)", F.lit("1~~3"))
+    doubled = table.withColumns({"KC (Fine)": F.when(fifth, F.concat(name, F.lit("~~"), name)).otherwise(kc), "Opportunity (Fine)": F.when(fifth, F.lit("1~~3")).otherwise(F.col("Opportunity (Fine)"))})
     rows = parse.parsed_rows(doubled, "Fine").where("size(labels) <> size(kcs)")
     return rows.select("row_id", F.col("kcs")[0]["kc"].alias("first_kc"), F.col("kcs")[0]["opp"].alias("last_opp"), F.size("kcs").alias("n_kcs"))
 

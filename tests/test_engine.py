@@ -326,3 +326,14 @@ def test_cross_validation_of_designs_beyond_one_process(spark, steps, monkeypatc
     spread = crossval.paired_cross_validate(design, **options).toPandas()
     key = ["seed", "fold", "model"]
     pd.testing.assert_frame_equal(local.sort_values(key, ignore_index=True), spread.sort_values(key, ignore_index=True))
+
+
+def test_duplicate_labels_are_found_among_all_rows(spark, monkeypatch):
+    from practicum import queries
+
+    sf, real, given = "/root/testdata/sf0.001", queries.parse.parsed_rows, []
+    monkeypatch.setattr(queries.parse, "parsed_rows", lambda table, model: (given.append(table), real(table, model))[1])
+    got = queries.duplicate_kc_rows(spark, sf).collect()
+    rows = queries.steps_from_events(spark, sf).select("row_id", F.substring("KC (Fine)", 2, 9).cast("int").alias("k")).collect()
+    assert given[0].count() == len(rows)
+    assert {tuple(r) for r in got} == {(r.row_id, f"d{r.k // 10}", 2, 1) for r in rows if r.k % 5 == 0}
