@@ -68,27 +68,50 @@ def pieces(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBat
         at = to
 
 
-def hashed_words(data: np.ndarray, off: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the words' offsets by row (rows + 1)."""
-    rows = len(off) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    inside = allowed[data]
+def word_starts(inside: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Positions where words begin: runs of ``inside`` bytes, cut at row starts."""
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    heads = off[:-1][off[:-1] < len(data)]
+    heads = off[:-1][off[:-1] < len(inside)]
     first[heads] |= inside[heads]
-    starts = np.flatnonzero(first)
-    words = np.searchsorted(starts, off).astype(np.int64)
-    if not len(starts):
-        return np.zeros(0, np.uint64), words
+    return np.flatnonzero(first)
+
+
+def hash_words(data: np.ndarray, inside: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at ``starts`` (A-Z folded)."""
     values = _BYTE[FOLD[data]]
     values[~inside] = 0
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
     table = _power_table(int(lengths.max()) + 1)
     values = values[starts[0] :] * table[place]
-    return mix64(np.add.reduceat(values, starts - starts[0])), words
+    return mix64(np.add.reduceat(values, starts - starts[0]))
+
+
+def hash_pieces(points: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """A hash of every piece by random ``values`` of code points; pieces lie end to end from 0."""
+    lengths = np.diff(np.append(first, len(points)))
+    power = _power_table(int(lengths.max()) + 1)[np.arange(len(points)) - np.repeat(first, lengths)]
+    return mix64(np.add.reduceat(values[points] * power, first))
+
+
+def hash_runs(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash for each run of word hashes; ``first`` are the runs' first words, the first of all is 0."""
+    lengths = np.diff(np.append(first, len(words)))
+    table = _power_table(int(lengths.max()) + 1)
+    place = np.arange(len(words)) - np.repeat(first, lengths)
+    return mix64(np.add.reduceat(words * table[place], first) + lengths.astype(np.uint64) * _POWER)
+
+
+def hashed_words(data: np.ndarray, off: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the words' offsets by row (rows + 1)."""
+    rows = len(off) - 1
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+    inside = allowed[data]
+    starts = word_starts(inside, off)
+    words = np.searchsorted(starts, off).astype(np.int64)
+    return (hash_words(data, inside, starts) if len(starts) else np.zeros(0, np.uint64)), words
 
 
 def windows(words: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +135,8 @@ def windows(words: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
             out[out_off[row] + within] = every[off[row] + within]
     for r in np.flatnonzero(short):
         part = words[off[r] : off[r + 1]]
-        total = np.add.reduce(part * _ODD[: len(part)]) + np.uint64(len(part)) * _POWER
-        out[out_off[r]] = mix64(np.array([total], np.uint64))[0]
+        total = np.add.reduce(part * _ODD[: len(part)], keepdims=True) + np.array([len(part)], np.uint64) * _POWER
+        out[out_off[r]] = mix64(total)[0]
     return out, out_off
 
 
