@@ -10,7 +10,10 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,55 @@ def word_count(text: Column) -> Column:
     return F.when(one == "", F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
+#: Up to this many edges (16 bytes each) one task unites; more go through rounds of joins.
+ONE_TASK_EDGES = 2_000_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest node of each component: labels take the least of an edge's ends, then jump to their label's label."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = np.concatenate(held, axis=1)
+    nodes, place = np.unique(ends, return_inverse=True)
+    a, b = place.reshape(ends.shape)
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            break
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+    below = label != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[below]), pa.array(nodes[label[below]])], names=["node", "root"])
+
+
+def components(spark: SparkSession, edges: DataFrame, *, one_task: int | None = None) -> DataFrame:
+    """(node, root): the smallest node of each component of edges (a, b), for all nodes but the smallest.
+
+    A measured, bounded number of edges goes to one task. More go through alternating large and small
+    stars; each round is written out, so its lineage is one table.
+    """
+    now = scratch(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= (ONE_TASK_EDGES if one_task is None else one_task):
+        return scratch(spark, now.repartition(1).mapInArrow(_united, "node long, root long"), "roots")
+    previous = None
+    while True:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low2, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        now = scratch(spark, small, "edges")
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == previous:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        previous = state
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The columns renamed c0, c1, ... (names of a caller's columns cannot clash then) and their new names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
