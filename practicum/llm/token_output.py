@@ -1,9 +1,10 @@
 """Token-ID output: ids in blocks coded by an adaptive context-mixing range coder.
 
-*Tokens.* A text is cut by the tokenizer's own pattern; the tokenizers library encodes every distinct
-piece once and a bounded cache keeps its ids. Pieces never interact in byte-level BPE, so this is
-the library's encoding of the whole text; a text with characters on which pattern engines might
-disagree (outside the plain ranges below) goes to the library whole.
+*Tokens.* Texts are cut as the tokenizer's own pattern cuts them, many at once over their code points;
+the tokenizers library encodes every distinct piece once and a bounded cache keeps its ids. Pieces never
+interact in byte-level BPE, so this is the library's encoding of the whole text. A text with characters
+on which pattern engines might disagree (outside the plain ranges below), or with an added token's
+string, goes to the library whole.
 
 *Blocks.* Whole documents in ascending doc_id order fill a block. A block is coded alone: models
 reset, a CRC-32 over its ids. Inside it, lanes of consecutive ids advance in lockstep, each with its
@@ -27,7 +28,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,35 +35,81 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bytewords import hash_pieces, pieces
 from .common import shared_dir, table
 
 END_ID = 0
-BLOCK_IDS = 1 << 20
-STEPS = 128
-CACHE_PIECES = 700_000
+BLOCK_IDS = 1 << 22
+STEPS = 256
+CACHE_PIECES = 1_500_000
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"PTB1"
-#: The pre-tokenizer's pattern in terms of re, and characters on which engines agree.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+PIECES_AT_ONCE = 500
+BATCH_BYTES = 1_500_000
+#: Longer texts are cut between two words, where a match begins whatever stands before.
+SLICE_CHARS = 1_000_000
+_between = re.compile(r"[^\W\d_](?= [^\W\d_])")
+#: Characters on which pattern engines agree what is a letter, a digit or white space.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«¬®-±´¶-¸»¿-ȳΑ-ΡΣ-ώА-я‐-‧]*")
 
-_HASH_BITS = 17
-_CONF = 8
+_HASH_BITS = 21
+_CONF_BITS = 3
+_CONF = 1 << _CONF_BITS
+_SURER = np.minimum(np.arange(_CONF, dtype=np.int32) + 1, _CONF - 1)
+_LESS = np.arange(_CONF, dtype=np.int32) >> 1
 _ONE = np.uint64(1)
 _32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
-class _Places(dict):
-    """Numbers of pieces in order of first sight; ``new`` lists those without ids yet."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = place = len(self)
-        self.new.append(piece)
-        return place
+_LETTER, _DIGIT, _MARK, _BLANK, _NONE = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """What each code point on which engines agree is to the pattern; others are ``_NONE``."""
+    kinds = np.full(1 << 16, _NONE, np.uint8)
+    for c in range(0x2030):
+        if _PLAIN.fullmatch(x := chr(c)):
+            kinds[c] = _BLANK if x.isspace() else _DIGIT if x.isdecimal() else _LETTER if x.isalpha() else _MARK
+    return kinds
+
+
+_KIND = _kinds()
+_random = np.random.default_rng(50257)
+_POINT = _random.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def cut(points: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the pattern's matches begin in texts of agreed code points, laid end to end.
+
+    Runs of one kind are matches. A blank before another kind joins it if it is a space, a run of blanks
+    before another kind gives up its last one, and a contraction ends after its letters.
+    """
+    n = len(points)
+    kind = _KIND[points]
+    head = np.zeros(n + 1, bool)
+    head[off] = True
+    tail, head = head[1:], head[:-1]
+    before = np.concatenate([[_NONE], kind[:-1]])
+    before[head] = _NONE
+    begins = head | (kind != before)
+    joined = np.zeros(n, bool)
+    joined[1:] = points[:-1] == 32
+    joined &= (kind != _BLANK) & (before == _BLANK)
+    quote = np.flatnonzero((points == 39) & begins & ~joined)
+    begins &= ~joined
+    begins[:-1] |= (kind[:-1] == _BLANK) & (kind[1:] != _BLANK) & ~tail[:-1]
+    if len(quote):
+        row_end = off[np.searchsorted(off, quote, "right")]
+        after = [np.where(quote + k < row_end, points[np.minimum(quote + k, n - 1)], 0) for k in (1, 2)]
+        short = np.isin(after[0], [ord(c) for c in "stmd"])
+        long = np.isin(after[0] << 16 | after[1], [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")])
+        for found, size in ((quote[short], 2), (quote[long], 3)):
+            begins[found + 1] = False
+            stop = found + size
+            stop = stop[stop < n]
+            begins[stop[(kind[stop] == _LETTER) & ~head[stop]]] = True
+    return np.flatnonzero(begins)
 
 
 class Encoder:
@@ -73,40 +119,97 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.pieces = re.compile(PATTERN).findall
+        self.bytes_of = np.zeros(self.vocabulary, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)  # a character of a byte-level token stands for a byte
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
         self._reset()
 
     def _reset(self) -> None:
-        self.places = _Places()
-        self.ids = array("i")
-        self.ends = array("q", [0])
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece. Lines of one text are matches of their own, so many pieces go as one text
+        and its ids are cut by the bytes they stand for; blanks go one by one."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        lines = [i for i, p in enumerate(pieces) if not p.isspace()]
+        blank = [i for i, p in enumerate(pieces) if p.isspace()]
+        groups = [lines[i : i + PIECES_AT_ONCE] for i in range(0, len(lines), PIECES_AT_ONCE)]
+        for group, made in zip(groups, self._whole(["\n".join([pieces[i] for i in g]) for g in groups]), strict=True):
+            ids = np.array(made, np.int32)
+            ends = np.cumsum(self.bytes_of[ids])
+            size = np.array([len(pieces[i].encode()) for i in group])
+            stop = np.cumsum(size + 1) - 1
+            last = np.searchsorted(ends, stop)
+            first = np.searchsorted(ends, stop - size, "right")
+            if (ends[last] != stop).any() or (np.concatenate([[0], ends])[first] != stop - size).any():
+                raise ValueError("the tokenizer does not cut lines as its pattern says")
+            for i, a, b in zip(group, first.tolist(), last.tolist(), strict=True):
+                out[i] = ids[a : b + 1]
+        for i, made in zip(blank, self._whole([pieces[i] for i in blank]), strict=True):
+            out[i] = np.array(made, np.int32)
+        return out
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
+        made = self._pieces(pieces)
+        size = np.array([len(m) for m in made], np.int64)
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, *made])
+        keys = np.concatenate([self.keys, keys])
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.checks = keys[by], np.concatenate([self.checks, checks])[by]
+        self.first, self.size = np.concatenate([self.first, first])[by], np.concatenate([self.size, size])[by]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        whole = "".join(texts)
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        if not len(points):
+            return [np.zeros(0, np.int32)] * len(texts)
+        begin = cut(points, off)
+        key = hash_pieces(points, begin, _POINT)
+        check = np.add.reduceat(points, begin, dtype=np.uint64) << np.uint64(24) ^ np.diff(np.append(begin, len(points))).astype(np.uint64)
+        if len(self.keys) > CACHE_PIECES:
+            self._reset()
+        unique, at, back = np.unique(key, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        known = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
+        if not known.all():
+            stop = np.append(begin[1:], len(points))
+            new = at[~known]
+            self._learn(unique[~known], check[new], [whole[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, unique)
+        slot = place[back]
+        if (self.checks[slot] != check).any():  # two pieces of one 64-bit key
+            return [np.array(x, np.int32) for x in self._whole(texts)]
+        size = self.size[slot]
+        total = np.cumsum(size)
+        ids = self.ids[np.repeat(self.first[slot] - (total - size), size) + np.arange(total[-1])]
+        ends = np.concatenate([[0], total])[np.searchsorted(begin, off)]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def _sliced(self, text: str) -> Iterator[str]:
+        at = 0
+        while len(text) - at > SLICE_CHARS and (m := _between.search(text, at + SLICE_CHARS)):
+            yield text[at : m.end()]
+            at = m.end()
+        yield text[at:]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        plain = [_PLAIN.fullmatch(t) is not None for t in texts]
+        if len(texts) == 1 and len(texts[0]) > SLICE_CHARS and _PLAIN.fullmatch(texts[0]) and not self.added(texts[0]):
+            return [np.concatenate([self._plain([part])[0] for part in self._sliced(texts[0])])]
+        plain = [_PLAIN.fullmatch(t) is not None and not self.added(t) for t in texts]
         odd = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        if len(self.places) > CACHE_PIECES:
-            self._reset()
-        get = self.places.__getitem__
-        found = [np.array(list(map(get, self.pieces(t))), np.int64) if p else None for t, p in zip(texts, plain, strict=True)]
-        for made in self._whole(self.places.new):
-            self.ids.extend(made)
-            self.ends.append(len(self.ids))
-        self.places.new.clear()
-        ids, ends, out = np.frombuffer(self.ids, np.int32), np.frombuffer(self.ends, np.int64), []
-        for at in found:
-            if at is None:
-                out.append(np.array(next(odd), np.int32))
-                continue
-            size = ends[at + 1] - ends[at]
-            total = np.cumsum(size)
-            out.append(ids[np.repeat(ends[at] - (total - size), size) + np.arange(total[-1] if len(at) else 0)])
-        return out
+        cut_ = iter(self._plain([t for t, p in zip(texts, plain, strict=True) if p]))
+        return [next(cut_) if p else np.array(next(odd), np.int32) for p in plain]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -119,6 +222,11 @@ def encoder_of(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _followed(ids: np.ndarray, hit: np.ndarray, guess: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """New entries: a hit is surer, a miss less sure, and replaces a guess that is hardly sure."""
+    return (np.where(sure < 2, ids, guess) << _CONF_BITS) + np.where(hit, _SURER[sure], _LESS[sure])
+
+
 class Model:
     """The three predictors of one block and their mixture weights, for all lanes of a step."""
 
@@ -126,10 +234,9 @@ class Model:
         self.counts = np.ones(symbols, np.int64)
         self.total = symbols
         self.edges = np.arange(symbols + 1, dtype=np.int64)
-        self.next1 = np.zeros(symbols, np.int32)
-        self.conf1 = np.zeros(symbols, np.int8)
-        self.next2 = np.zeros(1 << _HASH_BITS, np.int32)
-        self.conf2 = np.zeros(1 << _HASH_BITS, np.int8)
+        # an entry is the id that last followed times _CONF plus its confidence
+        self.after1 = np.zeros(symbols, np.int32)
+        self.after2 = np.zeros(1 << _HASH_BITS, np.int32)
         self.weights = np.tile(np.array([1, 1, 2], np.int64), (2 * _CONF * _CONF, 1))
         self.one = np.zeros(lanes, np.int64)
         self.two = np.zeros(lanes, np.int64)
@@ -138,13 +245,11 @@ class Model:
         """Candidates for the next ids, and the lane's mixture: edges of (order 2, order 1, order 0)."""
         self.one, self.two = self.one[:lanes], self.two[:lanes]
         self.slot = ((self.one * 0x9E3779B1 + self.two * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        self.guess2, self.guess1 = self.next2[self.slot], self.next1[self.one]
-        self.c2, self.c1 = self.conf2[self.slot], self.conf1[self.one]
-        self.state = (self.c2.astype(np.int64) * _CONF + self.c1) * 2 + (self.guess1 == self.guess2)
-        first, second, third = self.weights.T
-        self.edge1 = first[self.state]
-        self.edge2 = (first + second)[self.state]
-        self.edge3 = (first + second + third)[self.state]
+        entry2, entry1 = self.after2[self.slot], self.after1[self.one]
+        self.guess2, self.guess1 = entry2 >> _CONF_BITS, entry1 >> _CONF_BITS
+        self.c2, self.c1 = entry2 & (_CONF - 1), entry1 & (_CONF - 1)
+        self.state = (self.c2 * _CONF + self.c1) * 2 + (self.guess1 == self.guess2)
+        self.edge1, self.edge2, self.edge3 = np.cumsum(self.weights, 1, dtype=np.int64).T[:, self.state]
 
     def interval(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and total of the chosen predictor's share."""
@@ -162,11 +267,8 @@ class Model:
         big = self.weights.sum(1) > 1 << 15
         self.weights[big] = (self.weights[big] >> 1) + 1
         hit2, hit1 = ids == self.guess2, ids == self.guess1
-        up2, up1 = np.minimum(self.c2 + 1, _CONF - 1), np.minimum(self.c1 + 1, _CONF - 1)
-        self.conf2[self.slot] = np.where(hit2, up2, self.c2 >> 1)
-        self.next2[self.slot] = np.where(hit2 | (self.c2 < 2), ids, self.guess2)
-        self.conf1[self.one] = np.where(hit1, up1, self.c1 >> 1)
-        self.next1[self.one] = np.where(hit1 | (self.c1 < 2), ids, self.guess1)
+        self.after2[self.slot] = _followed(ids, hit2, self.guess2, self.c2)
+        self.after1[self.one] = _followed(ids, hit1, self.guess1, self.c1)
         rare = ids[choice == 2]
         if len(rare):
             np.add.at(self.counts, rare, 16)
@@ -204,7 +306,7 @@ def compress(ids: np.ndarray, symbols: int) -> bytes:
             a[less], b[less] = la << _32, lb << _32
         low[at], wide[at] = a, b
 
-    grid = np.zeros(steps * lanes, np.int64)
+    grid = np.zeros(steps * lanes, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     last = n - (lanes - 1) * steps
@@ -264,7 +366,7 @@ def decompress(data: bytes) -> np.ndarray:
             a[less], b[less] = la << _32, lb << _32
         low[where], wide[where] = a, b
 
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     last = n - (lanes - 1) * steps
     for step in range(steps):
         active = lanes if step < last else lanes - 1
@@ -277,7 +379,7 @@ def decompress(data: bytes) -> np.ndarray:
         choice = (value >= model.edge1.astype(np.uint64)).astype(np.int64) + (value >= model.edge2.astype(np.uint64))
         start, size, _ = model.interval(choice)
         narrow(part, unit, start, size)
-        x = np.where(choice == 0, model.guess2, model.guess1).astype(np.int64)
+        x = np.where(choice == 0, model.guess2, model.guess1)
         rare = np.flatnonzero(choice == 2)
         if len(rare):
             unit = wide[rare] // np.uint64(model.total)
@@ -324,8 +426,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, bl
 
         end = np.array([END_ID], np.int32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in pieces(batch, "text", BATCH_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     held.append(np.concatenate([ids, end]))
