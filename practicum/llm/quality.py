@@ -5,13 +5,14 @@ passes is held against fences that each (language, source) group sets for itself
 into an integer quantile sketch - a bucket keeps the leading ``SIGNIFICANT_BITS`` binary digits of
 a value, so sketches of any parts merge by adding counts, in any order, with a relative error below
 2**(1 - SIGNIFICANT_BITS) - and a document fails where a value exceeds
-``q75 + spread * (q75 - q25) + slack``. Groups of fewer than ``min_group`` documents use the merged
-sketch of all groups. The sketch pass reads cheap metrics only; the costly window metric is
-evaluated once, in the pass that returns rows, joined there with the (small) fence table.
-
-Defined results: null or blank texts have no words and fail the base rule; null lang and source
-form groups of their own; repeated rows are judged each on its own; an empty table gives an empty
-result; further columns, whatever their names, pass through ``filter_documents`` untouched.
+``q75 + SPREAD * (q75 - q25) + q75 / 4 + step``, where ``step`` is what a rate that is nought for most of a group
+may still reach. Groups of fewer than ``min_group`` documents use the merged sketch of all groups. Metrics
+are computed once and written; the fence table is broadcast where its size has been measured as small.
+
+Defined results: null, empty or blank texts have no words and fail the base rule; a very long text is measured
+as a whole within its row; a value equal to its fence passes; null lang and source form groups of
+their own; repeated rows are judged each on its own; an empty table gives an empty result; further
+columns, whatever their names, pass through ``filter_documents`` untouched.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CHARS, table, words_of
+from .common import SPACE, SPACE_CHARS, numbered, scratch, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 SIGNIFICANT_BITS = 6
-#: metric: (multiple of the interquartile range, slack); values in thousandths.
-FENCES = {"symbol_rate": (6, 50), "word_length": (6, 8000), "dup_line_rate": (6, 500)}
+SPREAD = 6
+#: metric: step in thousandths.
+FENCES = {"symbol_rate": 50, "word_length": 0, "dup_line_rate": 350}
 MIN_GROUP = 100
+#: Up to this many groups their fences are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -106,19 +110,24 @@ def fences(metrics: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
     small = F.col("docs") < min_group
     q1, q3 = F.when(small, F.col("m1")).otherwise(F.col("q1")), F.when(small, F.col("m3")).otherwise(F.col("q3"))
     limit = F.lit(None).cast("long")
-    for m, (spread, slack) in FENCES.items():
-        limit = F.when(F.col("metric") == m, q3 + spread * (q3 - q1) + slack).otherwise(limit)
+    for m, step in FENCES.items():
+        limit = F.when(F.col("metric") == m, q3 + SPREAD * (q3 - q1) + F.floor(q3 / 4) + step).otherwise(limit)
     flat = own.select("lang", "source", "metric", limit.alias("limit"))
     return flat.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"max_{m}") for m in FENCES])
 
 
-def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
-    """Rows ``_row`` (the input row), counts, ``base_failed`` and ``kept``."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", "lang", "source")
-    limits = fences(cheap_metrics(rows.withColumn("_row", F.lit(0))), min_group=min_group)
+def judge(docs: DataFrame, *, carry: list[str] | None = None, min_group: int = MIN_GROUP) -> DataFrame:
+    """Rows ``_row`` (a struct of c0, c1, ...: the input's columns, or those named in ``carry``), counts,
+    ``base_failed`` and ``kept``."""
+    spark = docs.sparkSession
+    rows, names = numbered(docs)
+    kept = [F.col(names[c]).alias(f"c{i}") for i, c in enumerate(carry)] if carry else [F.col(c) for c in rows.columns]
+    rows = rows.select(F.struct(*kept).alias("_row"), *[F.col(names[c]).alias(c) for c in ("text", "lang", "source")])
+    full = scratch(spark, with_repeats(cheap_metrics(rows)), "quality")
+    limits = scratch(spark, fences(full, min_group=min_group), "fences")
     limits = limits.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[f"max_{m}" for m in FENCES])
-    full = with_repeats(cheap_metrics(rows))
-    joined = full.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    few = limits.count() <= BROADCAST_GROUPS
+    joined = full.join(F.broadcast(limits) if few else limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     within = F.lit(True)
     for m in FENCES:
@@ -127,13 +136,13 @@ def judge(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, *, min_group: int = MIN_GROUP) -> DataFrame:
-    return judge(docs, min_group=min_group).where("kept").select("_row.*")
+    return judge(docs, min_group=min_group).where("kept").select("_row.*").toDF(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return judge(docs).select(
-        F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    return judge(docs, carry=["doc_id"]).select(
+        F.col("_row.c0").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -177,8 +186,8 @@ WITH d AS (
         FROM (SELECT metric, bucket, sum(n) AS n FROM k GROUP BY ALL)) GROUP BY metric
 ), f AS (
   SELECT lang, source, metric,
-    CASE WHEN docs < 100 THEN m3 + 6 * (m3 - m1) ELSE q3 + 6 * (q3 - q1) END
-    + CASE metric WHEN 'symbol_rate' THEN 50 WHEN 'word_length' THEN 8000 ELSE 500 END AS top FROM q JOIN a USING (metric)
+    CASE WHEN docs < 100 THEN m3 + 6 * (m3 - m1) + m3 // 4 ELSE q3 + 6 * (q3 - q1) + q3 // 4 END
+    + CASE metric WHEN 'symbol_rate' THEN 50 WHEN 'word_length' THEN 0 ELSE 350 END AS top FROM q JOIN a USING (metric)
 ), p AS (
   SELECT lang, source, max(top) FILTER (metric = 'symbol_rate') AS s, max(top) FILTER (metric = 'word_length') AS wl,
     max(top) FILTER (metric = 'dup_line_rate') AS dl FROM f GROUP BY lang, source
