@@ -8,21 +8,32 @@ source; leading key digits split each source into ranges of bounded size, range
 into offsets, and a running sum within a range completes the distributed prefix sum. Whole epochs
 are taken first, then the prefix up to the exact budget, cutting one document.
 
-Defined results: null text has size 0 and takes nothing; null source is a source of its own; equal
-keys are ordered by doc_id and a hash of the text, so reruns agree; repeated rows are taken each on
-its own; an empty table gives an empty result; ``mix`` hands further columns through untouched.
+The sources themselves (a row each) are ranked and summed in one task.
+
+Defined results: null and empty texts have size 0 and take nothing; a text of any length counts as a whole; null
+source is a source of its own; rows without doc_id get their key from the text; equal keys are ordered by
+doc_id and a hash of the text, so reruns agree; repeated rows are taken each on its own by ``mix``, and
+alike by ``mix_documents``; an empty table gives an empty result; ``mix_documents`` hands further columns,
+whatever their names, through untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table, word_count
+from .common import numbered, restored, scratch, table, word_count
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
 RANGE_ROWS = 50_000
+#: Up to this many sources their cuts are broadcast.
+BROADCAST_SOURCES = 100_000
+
+
+def _key(doc_id: Column, text: Column, seed: str) -> Column:
+    """A document's hash-random place among its source's."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text, F.lit(""))))))
 
 
 def budgets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -45,9 +56,9 @@ def budgets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Rows doc_id, source, text_key, size, source_size, target, taken, copies (whole ones)."""
+    """Rows doc_id, source, key, text_key, size, source_size, target, taken, epochs, copies (whole ones)."""
     spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.xxhash64("text").alias("text_key"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.xxhash64("text").alias("text_key"))
     sized = scratch(spark, sized, "mix-sizes")
     digits = 1
     while 16**digits * range_rows < sized.count() and digits < 7:
@@ -67,23 +78,31 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     placed = placed.withColumn("upto", F.col("ahead") + F.col("within")).withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least("size", F.col("rest") - (F.col("upto") - F.col("size"))))
     return placed.select(
-        "doc_id", "source", "text_key", "size", "source_size", "target",
+        "doc_id", "source", "key", "text_key", "size", "source_size", "target", "epochs",
         (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
         (F.col("epochs") + F.when((F.col("upto") - F.col("size") < F.col("rest")) & (part * 2 >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
     )
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, seed: str = SEED, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it as a whole.
 
-    The one document that a budget cuts is taken whole if at least half of it is within.
+    The one document that a budget cuts is taken whole if at least half of it is within. What a source
+    takes is its epochs and the place of its last document taken once more: a row per source, broadcast
+    where their number has been measured as small, so texts stay where they are.
     """
-    cols = docs.columns
-    keys = mix(docs.select("doc_id", "text", "source"), **options).groupBy("doc_id", "source", "text_key").agg(F.max("copies").alias("_copies"))
-    keys = keys.where("_copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_k"), "_copies")
-    rows = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.xxhash64("text").alias("_h"))
-    same = F.col("_id").eqNullSafe(F.col("_d")) & F.col("_src").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_k"))
-    return rows.join(keys, same).select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select("_row.*")
+    rows, names = numbered(docs)
+    id_, text, source = names["doc_id"], names["text"], names["source"]
+    decided = mix(docs.select("doc_id", "text", "source"), seed=seed, **options)
+    place = F.struct("key", "doc_id", "text_key")
+    cuts = decided.groupBy("source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("_cut"))
+    cuts = scratch(docs.sparkSession, cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+    few = cuts.count() <= BROADCAST_SOURCES
+    own = F.struct(_key(F.col(id_), F.col(text), seed).alias("key"), F.col(id_).alias("doc_id"), F.xxhash64(text).alias("text_key"))
+    joined = rows.join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("_source")))
+    copies = F.col("_epochs") + F.coalesce((own <= F.col("_cut")).cast("int"), F.lit(0))
+    taken = joined.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))))
+    return restored(taken, docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +112,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS key FROM documents
 ), p AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
 ), w AS (
