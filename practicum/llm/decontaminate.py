@@ -34,7 +34,7 @@ from .common import numbered, restored, scratch, table
 PHRASE_WORDS = 13
 SHARD_BYTES = 4_000_000
 SHARD_WORDS = 1_000_000
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 2_000_000
 SAMPLE = 8
 
 
@@ -327,9 +327,10 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, **options) -> tuple[Da
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))), names
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, any_hit: bool = False, **options) -> DataFrame:
+    """Without contaminated documents, or with ``any_hit`` without all that hold a test phrase."""
     flagged, _ = flag_documents(docs, benchmark, **options)
-    return restored(flagged.where(~F.col("contaminated")), docs.columns)
+    return restored(flagged.where(F.col("n_hit") == 0 if any_hit else ~F.col("contaminated")), docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
