@@ -2,13 +2,15 @@
 
 Features are the byte n-grams of a text (A-Z folded, other ASCII non-letters as word breaks), hashed
 to ``BUCKETS`` embedding rows. Embeddings and output weights are trained together by stochastic
-gradient descent in numpy on a bounded, stratified sample of labelled rows (``SAMPLE_PER_LANGUAGE``,
-chosen by a hash of doc_id). A held-back fifth of the sample sets the softmax temperature and the
+gradient descent in numpy on a bounded, stratified sample of labelled rows: of each of the ``LANGUAGES``
+commonest languages the ``SAMPLE_PER_LANGUAGE`` rows with the smallest hashes, among texts of at most
+``SAMPLE_CHARS`` code points. A held-back fifth of the sample sets the softmax temperature and the
 score below which an answer counts as rejected. For prediction embeddings times weights are folded
 to one row of logits per bucket, so a text costs a gather and a segment sum; the model goes out as
 one broadcast of fixed size.
 
-Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled
+Defined results: null and empty texts and texts without a letter are ``und`` with score 0; a very long text is
+read as a whole, its n-grams summed slice by slice; of equal scores the first language in code point order wins; without labelled
 rows everything is ``und``; rows without doc_id are predicted but neither learned from nor held
 out; repeated rows are predicted each on its own; an empty table gives an empty result; further
 columns, whatever their names, pass through ``identify`` untouched.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,10 @@ ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
 DIMENSION = 16
 SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_CHARS = 200_000
+LANGUAGES = 1000
+#: A text's bytes are looked up so many at a time.
+SLICE_BYTES = 1_000_000
 EPOCHS = 4
 REJECT_ACCURACY = 0.99
 UNKNOWN = "und"
@@ -44,10 +50,10 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def _ngrams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _ngrams(data: np.ndarray, off: np.ndarray, orders: tuple[int, ...] = ORDERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the buckets of all n-grams and the row offsets among them."""
     folded = _FOLD[data].astype(np.uint32)
-    for n in ORDERS:
+    for n in orders:
         if len(folded) < n:
             yield np.zeros(0, np.int64), np.zeros(len(off), np.int64)
             continue
@@ -70,9 +76,24 @@ class Model:
     temperature: float = 1.0
     reject_below: float = 0.0
 
+    def _summed(self, data: np.ndarray) -> np.ndarray:
+        """Mean logits of one long text; a slice's n-grams are those that begin in it."""
+        total, count = np.zeros(len(self.languages)), 0
+        for at in range(0, len(data), SLICE_BYTES):
+            for n in ORDERS:
+                part = data[at : at + SLICE_BYTES + n - 1]
+                for bucket, _ in _ngrams(part, np.array([0, len(part)]), (n,)):
+                    total += np.bincount(bucket, minlength=BUCKETS) @ self.logits
+                    count += len(bucket)
+        return total / max(count, 1)
+
     def scores(self, column: pa.Array) -> np.ndarray:
         """Softmax scores, a row per text."""
         data, off = text_bytes(column)
+        if len(off) == 2 and len(data) > SLICE_BYTES:
+            z = self._summed(data) / self.temperature
+            e = np.exp(z - z.max())
+            return (e / e.sum())[None, :]
         total, count = np.zeros((len(off) - 1, len(self.languages))), np.zeros(len(off) - 1)
         for bucket, at in _ngrams(data, off):
             some = np.flatnonzero(np.diff(at))
@@ -141,17 +162,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """At most about ``per_language`` rows of each language, never of the held-out third."""
-    may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    count = {r.lang: r.n for r in may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not count:
-        return [], []
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for lang, n in count.items():
-        wanted |= (F.col("lang") == lang) & (place < int(min(1.0, per_language / n) * (1 << 20)))
-    rows = may.where(wanted).select("doc_id", "lang", "text").limit(2 * per_language * len(count)).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    """Texts and languages of at most ``per_language`` rows of each language, never of the held-out third."""
+    may = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & ~held_out(F.col("doc_id")))
+    may = may.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("tie"), "text")
+    commonest = may.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # the filter on row_number keeps the smallest of each task before the shuffle; the texts of what is left are fetched
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "tie"))
+    chosen = may.drop("text").join(F.broadcast(commonest.select("lang")), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    chosen = chosen.select("doc_id", "tie", "lang").distinct()  # at most LANGUAGES * per_language rows of a few bytes
+    rows = may.select("doc_id", "tie", "lang", "text").join(F.broadcast(chosen), ["doc_id", "tie", "lang"]).distinct().collect()
+    rows.sort(key=lambda r: (r.doc_id, r.text, r.lang))
     return [r.text for r in rows], [r.lang for r in rows]
 
 
