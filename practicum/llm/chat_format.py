@@ -10,9 +10,10 @@ An example is held as (context turns, target turn): its text is built from slice
 array, whose size is one conversation. Conversations are sequences by nature, so one conversation
 is the largest unit that a task holds; many rows of one conversation meet only there.
 
-Defined results: null role or text count as empty; a null turn sorts first, equal turns by role
-and text; rows repeated are turns repeated; a null conv_id is a conversation of its own; an empty
-table gives no examples.
+Defined results: null or empty role and text count as empty; a null turn sorts first, equal turns by role
+and text; rows repeated are turns repeated; every row without conv_id is a conversation by itself (equal ones
+are one of repeated turns), so they never gather in one task; a text of any length is written whole; an empty table
+gives no examples; columns other than the four are not read.
 """
 
 from __future__ import annotations
@@ -36,25 +37,26 @@ def unescape(c: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, *, target_role: str = "assistant") -> DataFrame:
-    """Examples: conv_id, example (0, 1, ...), trainable, context, target, n_context.
+    """Examples: conv_id, alone (tells rows without conv_id apart), example (0, 1, ...), trainable, context, target, n_context.
 
     ``context || target || '</s>'`` is the formatted example; the loss mask covers the text of the
     target turn alone, ``loss_start`` and ``loss_end`` in code points of the formatted example.
     """
     blank = F.lit("")
     turns = rows.select(
-        "conv_id", F.col("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")
-    )
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+        "conv_id", F.col("turn"), F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        F.when(F.col("conv_id").isNull(), F.sha2(F.concat_ws("\n", F.col("turn").cast("string"), "role", "text"), 256)).alias("alone"),
+    )
+    convs = turns.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     written = F.transform("t", lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit(TEXT), escape(x["text"]), F.lit(TEXT_END)))
     at = F.filter(F.transform("t", lambda x, i: F.when(x["role"] == target_role, i)), lambda i: i.isNotNull())
-    packed = convs.select("conv_id", F.inline_outer(F.array(F.struct(written.alias("w"), at.alias("at"), F.size("t").alias("n")))))
+    packed = convs.select("conv_id", "alone", F.inline_outer(F.array(F.struct(written.alias("w"), at.alias("at"), F.size("t").alias("n")))))
     last = F.coalesce(F.get("at", F.size("at") - 1), F.lit(-1))
     ends = F.when(last < F.col("n") - 1, F.concat("at", F.array(F.col("n")))).otherwise(F.col("at"))
-    each = packed.select("conv_id", "w", "n", F.posexplode(ends).alias("example", "end"))
+    each = packed.select("conv_id", "alone", "w", "n", F.posexplode(ends).alias("example", "end"))
     context = F.array_join(F.slice("w", 1, F.col("end")), "")
     target = F.coalesce(F.get("w", F.col("end")), blank)
-    made = each.select("conv_id", "example", (F.col("end") < F.col("n")).alias("trainable"), context.alias("context"), target.alias("target"), F.least("end", "n").alias("n_context"))
+    made = each.select("conv_id", "alone", "example", (F.col("end") < F.col("n")).alias("trainable"), context.alias("context"), target.alias("target"), F.least("end", "n").alias("n_context"))
     mark = F.instr("target", TEXT) + len(TEXT) - 1
     start = F.char_length("context") + mark
     return made.withColumns({
@@ -72,8 +74,8 @@ def read_back(examples: DataFrame) -> DataFrame:
         pieces,
         lambda p: F.concat(unescape(F.substring_index(p, TEXT, 1)), F.lit("\n"), unescape(F.regexp_extract(p, r"(?s)\[INST\](.*)\[/INST\]\z", 1)), F.lit("\n")),
     )
-    each = examples.select("conv_id", "example", masked.alias("m"), "formatted", F.char_length("formatted").alias("chars"))
-    whole = each.groupBy("conv_id").agg(
+    each = examples.select("conv_id", "alone", "example", masked.alias("m"), "formatted", F.char_length("formatted").alias("chars"))
+    whole = each.groupBy("conv_id", "alone").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "m"))), lambda x: x["m"]), "").alias("loss"),
         F.max_by("formatted", "example").alias("formatted"),
         F.sum("chars").alias("formatted_chars"),
