@@ -6,13 +6,14 @@ fetch the rules filed under them and only those expressions run. Up to ``inline_
 filed in a literal map and the whole judgement is one projection without any shuffle; more rules
 go through an equi-join on the token, pre-aggregated per url.
 
-Defined results: a null url, or one without ``://``, has empty host and path, no rule and the
-default verdict; repeated rows are judged each on its own; an empty table gives an empty result;
-other columns of the input are not read.
+Defined results: a null or empty url, or one without ``://``, has empty host and path, no rule and the
+default verdict; a url of any length is judged whole; of rules of one weight the greater name wins; repeated
+rows are judged each on its own; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +38,9 @@ def site_rule(site: str, verdict: str) -> Rule:
     """``host/path``: fits the host and its subdomains where the path starts with the rule's."""
     host, _, rest = site.partition("/")
     escaped = "".join(f"\\{c}" if not c.isalnum() else c for c in f"{host}/{rest}")
-    tokens = tuple(t for t in host.split(".") if t) or ("",)
+    # a path's last word need not end where the rule does
+    path = rest.split("/")[: None if rest.endswith("/") else -1]
+    tokens = tuple(t for t in (*host.split("."), *path) if t and re.fullmatch(r"[a-z0-9]+", t)) or ("",)
     return Rule(site, verdict, f"^(?:[^/]*\\.)?{escaped}", tokens, 1_000_000 + len(site), True)
 
 
@@ -51,8 +54,16 @@ SITE_RULES = (
 PATTERN_RULES = (
     Rule("casino-host", "block", r"^(?:[^/]*[.-])?casino[.-]", ("casino",), 30),
     Rule("adult-path", "block", r"/(?:[^?#]*/)?(?:xxx|porn)(?:/|\z)", ("xxx|porn",), 20),
+    Rule("betting-host", "block", r"^(?:[^/]*[.-])?(?:betting|poker|slots)[.-]", ("betting|poker|slots",), 18),
+    Rule("torrent-host", "block", r"^(?:[^/]*[.-])?(?:torrent|warez)[.-]", ("torrent|warez",), 16),
+    Rule("short-link-host", "block", r"^(?:bit\.ly|goo\.gl|t\.co)/", ("bit|goo|t", "ly|gl|co"), 14),
     Rule("tracker-host", "block", r"^(?:ads|tracker)\.", ("ads|tracker",), 10),
+    Rule("feed-path", "block", r"/(?:feed|rss|atom)(?:/|\.xml)?\z", ("feed|rss|atom",), 9),
+    Rule("shop-path", "block", r"/(?:cart|checkout|basket)(?:/|\z)", ("cart|checkout|basket",), 8),
+    Rule("archive-path", "block", r"/(?:tag|tags|author)/[^/]+/page/[0-9]+", ("page", "tag|tags|author"), 7),
+    Rule("admin-path", "block", r"/(?:wp-admin|wp-login|xmlrpc)(?:/|\.php|\z)", ("admin|login|xmlrpc",), 6),
     Rule("login-page", "block", r"/login(?:\.html?|/|\z)", ("login",), 5),
+    Rule("binary-file", "block", r"\.(?:exe|zip|iso|dmg|apk)\z", ("exe|zip|iso|dmg|apk",), 4),
 )
 
 
@@ -68,13 +79,17 @@ def _alternatives(rule: Rule) -> list[list[str]]:
     return [t.split("|") for t in rule.tokens]
 
 
+def _tokens(url: Column) -> Column:
+    return F.array_distinct(F.split(ascii_lower(url), r"[^a-z0-9\x{80}-\x{10FFFF}]+"))
+
+
 def rarest_tokens(urls: DataFrame, rules: tuple[Rule, ...]) -> dict[str, list[str]]:
-    """For each rule the token group met in the fewest urls: one aggregate with a row of counts."""
+    """For each rule the token group met in the fewest urls: the rules' words counted in one grouping."""
     words = sorted({w for r in rules for group in _alternatives(r) for w in group})
-    lowered = ascii_lower(F.coalesce(F.col("url"), F.lit("")))
-    found = urls.agg(*[F.count_if(F.contains(lowered, F.lit(w))).alias(f"n{i}") for i, w in enumerate(words)]).first()
-    count = {w: found[f"n{i}"] or 0 for i, w in enumerate(words)}
-    return {r.name: min(_alternatives(r), key=lambda g: (sum(count[w] for w in g), -min(map(len, g)), g)) for r in rules}
+    found = urls.select(F.explode(_tokens(F.coalesce("url", F.lit("")))).alias("token"))
+    known = urls.sparkSession.createDataFrame([(w,) for w in words], "token string")  # as many as the rules have words
+    count = {r.token: r.n for r in found.join(F.broadcast(known), "token").groupBy("token").agg(F.count("*").alias("n")).collect()}
+    return {r.name: min(_alternatives(r), key=lambda g: (sum(count.get(w, 0) for w in g), -min(map(len, g)), g)) for r in rules}
 
 
 def judge_urls(
@@ -90,7 +105,7 @@ def judge_urls(
     host, path = split_url(F.col("_u"))
     parts = urls.withColumnRenamed("url", "_u").select("page_id", host.alias("host"), path.alias("path"))
     target = F.concat("host", "path")
-    tokens = F.array_distinct(F.split(ascii_lower(target), r"[^a-z0-9\x{80}-\x{10FFFF}]+"))
+    tokens = _tokens(target)
     if len(filed) > inline_limit:
         return _judge_by_join(parts, tokens, target, filed, default)
 
@@ -151,12 +166,9 @@ WITH u AS (
          WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h
 ), m AS (
   SELECT *, CASE WHEN rule IS NOT NULL THEN rule
-    WHEN regexp_matches(host || path, '^(?:[^/]*[.-])?casino[.-]') THEN 'casino-host'
-    WHEN regexp_matches(host || path, '/(?:[^?#]*/)?(?:xxx|porn)(?:/|\z)') THEN 'adult-path'
-    WHEN regexp_matches(host || path, '^(?:ads|tracker)\.') THEN 'tracker-host'
-    WHEN regexp_matches(host || path, '/login(?:\.html?|/|\z)') THEN 'login-page' END AS matched FROM r
+    PATTERNS END AS matched FROM r
 )
 SELECT page_id, host, path, rule,
   CASE WHEN matched IN ('example.net/en/', 'org/fr/') OR matched IS NULL THEN 'allow' ELSE 'block' END AS verdict, matched
 FROM m
-"""
+""".replace("PATTERNS", "\n    ".join(f"WHEN regexp_matches(host || path, '{r.pattern}') THEN '{r.name}'" for r in sorted(PATTERN_RULES, key=lambda r: -r.weight)))
