@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tokenizers import Tokenizer
+
 from practicum.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,7 +71,7 @@ def brute_classes(texts):
 @pytest.mark.parametrize("most_parts", [1, 100])
 def test_ngram_classes_equal_all_pairs(docs, texts, monkeypatch, most_parts):
     monkeypatch.setattr(ngram_join, "MOST_PARTS", most_parts)
-    rows = ngram_join.classes_of(docs, chunk=3).collect()
+    rows = ngram_join.classes_of(docs, shard_shingles=150).collect()
     assert len(rows) == len(texts) + 4
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None}
     assert got == brute_classes(texts)
@@ -94,9 +96,10 @@ def test_ngram_keeps_one_of_each(docs, texts, empty):
     assert ngram_join.classes_of(empty).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components_of_chains_and_stars(spark, one_task):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in ngram_join.components(spark, edges).collect()}
+    got = {r.node: r.root for r in ngram_join.components(spark, edges, one_task=one_task).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 95: 90, 100: 90}
 
 
@@ -187,7 +190,7 @@ def test_quality_counts_and_pass_through(spark, docs, texts, empty):
         win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         return len({i + k for i, x in enumerate(win) if win.count(x) > 1 for k in range(5)})
 
-    rows = {r._row.doc_id: r for r in quality.judge(docs).collect()}
+    rows = {r._row.c0: r for r in quality.judge(docs).collect()}
     for i, t in enumerate(texts):
         assert (rows[i].n_words, rows[i].n_repeat_words) == (len(words(t)), repeats(words(t)))
     extra = docs.withColumnsRenamed({"n_chars": "n_words"}).withColumn("kept", docs["doc_id"])
@@ -203,22 +206,55 @@ def test_quality_fences_adapt_and_spare_clean_groups(spark):
     assert kept == {r[0] for r in clean}
 
 
+def brute_runs(rows, least):
+    """(doc, text) rows to (doc, start, stop, words, first doc) of the runs that go, by plain scanning."""
+    cut = []
+    for doc, text in rows:
+        found = []
+        for m in re.finditer(r"[^\n]*?(?:[.!?](?=[ \t\n\x0b\x0c\r]|$)|[\u3002\uff01\uff1f])|[^\n]+", text or ""):
+            if own := list(re.finditer(r"[^\x20\x09-\x0D]+", m.group())):
+                found.append((m.start() + own[0].start(), m.start() + own[-1].end(), tuple(w.group().translate(LOW) for w in own)))
+        cut.append((doc, text, found))
+    place = lambda doc, text: (doc is None, doc or 0, text if doc is None else "")
+    first = {}
+    for doc, text, found in cut:
+        for n, (*_, unit) in enumerate(found):
+            first[unit] = min(first.get(unit, (place(doc, text), n)), (place(doc, text), n))
+    want = set()
+    for doc, text, found in cut:
+        seen, runs, last = set(), [], None
+        for n, (start, stop, unit) in enumerate(found):
+            going = unit in seen or place(doc, text) != first[unit][0]
+            seen.add(unit)
+            if going and last == n - 1:
+                runs[-1] = (runs[-1][0], stop, runs[-1][2] + len(unit), runs[-1][3])
+            elif going:
+                runs.append((start, stop, len(unit), first[unit][0]))
+            last = n if going else last
+        want |= {(doc, a, b, n, None if f[0] else f[1]) for a, b, n, f in runs if n >= least or b - a >= 10 * least}
+    return want
+
+
 def test_substring_dedup_equals_scanning(spark, empty):
+    rng = np.random.default_rng(8)
+    stock = [" ".join(rng.choice(["One", "two", "THREE", "four5", "\u00e9t\u00e9"], int(rng.integers(1, 6)))) + rng.choice([".", "!", "?", ",", ". ", "\n", "\u3002"]) for _ in range(25)]
+    rows = [(int(rng.integers(0, 30)), (" " if rng.random() < 0.8 else "").join(rng.choice(stock, int(rng.integers(1, 14))))) for _ in range(40)]
     passage = "One two three four five six seven eight nine. Short one. Ten eleven twelve thirteen fourteen fifteen sixteen seventeen!"
-    rows = [(3, f"Intro a b c.\n{passage} Then the rest of it is new here today.", None, None, None), (1, f"{passage} Unlike anything else that was ever said.", None, None, None), (7, passage, None, None, None), (8, "Clean words only, nothing of it repeats anywhere else.", None, None, None), (9, None, None, None, None), (10, "", None, None, None)]
-    docs = spark.createDataFrame(rows + [rows[1], (None, passage, None, None, None)], DOC)
-    first, want = {}, set()
-    for doc, text, *_ in sorted(rows) + [(None, passage)]:
-        for start, stop, digest in substring_dedup.units(text, 8):
-            if digest in first:
-                want.add((doc, start, stop, *first[digest]))
-            else:
-                first[digest] = (doc, start)
-    got = {(r.doc_id, r.start, r.stop, r.first_doc_id, r.first_start) for r in substring_dedup.repeats(docs).collect()}
-    assert got == want and {w[0] for w in want} == {3, 7, None}
-    cut = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
-    assert "twelve" not in cut[3].text and "Then the rest" in cut[3].text and cut[3].removed and cut[8].text == rows[3][1]
-    assert substring_dedup.repeats(empty).count() == 0
+    rows += [(103, f"Intro a b c.\n{passage} Then the rest of it is new here today."), (101, f"{passage}  Unlike anything else that was ever said."), (107, passage), (108, "Clean words only, nothing of it repeats."), (109, None), (110, ""), (111, " \n\t"), (None, passage), (None, f"x. {passage}"), rows[0]]
+    rows += [(112, "Quite another text under this number, with words of its own."), (112, passage), (113, "\u6f22\u5b57\u3002" * 12), (114, "w " * 5000 + ". " + passage)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], DOC)
+    for least in (1, 6, 16):
+        got = {(r.doc_id, r.start, r.stop, r.n_words, r.first_doc_id) for r in substring_dedup.repeats(docs, min_words=least).collect()}
+        assert got == brute_runs(rows, least)
+    extra = docs.withColumnsRenamed({"lang": "a.b", "source": "_t"})
+    out = substring_dedup.remove_repeats(extra, min_words=16)
+    assert out.columns == [*extra.columns, "removed"]
+    cut = {(r.doc_id, r.text): r.removed for r in out.collect()}
+    assert (112, rows[-4][1]) in cut and cut[(112, "")] and (103, "Intro a b c.\n Then the rest of it is new here today.") in cut
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs.withColumn("removed", docs["lang"]))
+    assert substring_dedup.remove_repeats(docs, removed="gone", min_words=16).columns[-1] == "gone"
+    assert substring_dedup.repeats(empty).count() == 0 and substring_dedup.remove_repeats(empty).count() == 0
 
 
 def test_token_blocks_round_trip():
@@ -235,14 +271,34 @@ def test_token_blocks_round_trip():
         token_output.decompress(bytes(broken))
 
 
-def test_tokens_equal_the_library(spark, docs, texts, empty):
+def test_cut_equals_the_pattern():
+    """The vectorised cut against the pattern itself, on texts full of quotes and blanks."""
+    pattern = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    rng = np.random.default_rng(3)
+    atoms = ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", "a", "s", "B\u00e9", "12", "!", "_", "\u00ab", "\u0436", "x y", "don't", "\r\n"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(atoms, int(rng.integers(0, 14)))) for _ in range(5)] + ["x"]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        assert token_output.cut(points, off).tolist() == [m.start() + o for t, o in zip(texts, off, strict=False) for m in pattern.finditer(t)]
+
+
+def test_long_texts_are_sliced_between_words(monkeypatch):
+    monkeypatch.setattr(token_output, "SLICE_CHARS", 50)
+    library = Tokenizer.from_file(token_output.default_tokenizer())
     encoder = token_output.Encoder(token_output.default_tokenizer())
+    for text in ("it's a test of  words\n\nand don't stop, it goes on 12 3 and on " * 9, "x" * 400, " \n" * 90):
+        assert encoder.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tokens_equal_the_library(spark, docs, texts, empty):
+    library = Tokenizer.from_file(token_output.default_tokenizer())
     odd = ["it's  a b \n\n x<|endoftext|>y", "漢字 'll १२ ² x\u00a0y", "a\u2003b  ", "É'S don't 12ab_c"]
     rows = [(i, t) for i, t in enumerate(texts + odd)] + [(None, "null id"), (0, texts[0])]
     got = token_output.write_and_read(spark.createDataFrame(rows, "doc_id long, text string"), block_ids=500, partitions=3).collect()
     start, want = 0, []
     for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = [*encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(repr, ((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got))) == sorted(map(repr, want))
@@ -316,6 +372,15 @@ def test_short_lines_go_where_equal(spark):
     assert {tuple(r) for r in got} == {(2, 2, 1, 0, 0), (2, 3, 1, 2, 0)}
 
 
+def test_line_removal_keeps_other_rows_lines(spark):
+    rows = [(1, "the first line of all\n  kept as it is "), (2, "the first line of all\nown"), (2, "something of its own\nthe first line of all"), (3, None), (None, "the first line of all")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, `a.b` string, _gone string")
+    out = line_dedup.remove_duplicates(docs)
+    assert out.columns == docs.columns
+    assert sorted((r[0] or 9, r[1] or "") for r in out.collect()) == [(1, rows[0][1]), (2, "own"), (2, "something of its own"), (3, ""), (9, "")]
+    assert line_dedup.remove_duplicates(docs.limit(0)).count() == 0
+
+
 def test_registered_line_dedup_finds_a_changed_word(spark, tmp_path):
     line = "This report was written for the members of the committee and for nobody else, page after page."
     rows = [(1, line), (2, "Something new.\n" + line.replace("nobody", "somebody")), (3, line.replace("new", "old").replace("written", "read"))]
@@ -323,6 +388,27 @@ def test_registered_line_dedup_finds_a_changed_word(spark, tmp_path):
     assert [tuple(r) for r in line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()] == [(2, 1, 1, 0, 3)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ngram_shard_equals_all_pairs_of_hot_groups(seed):
+    """Many near copies around the threshold: long lists, many candidates, stars with far members."""
+    rng = np.random.default_rng(seed)
+    base = rng.choice(10_000, 120, replace=False)
+    sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(85, 121)), replace=False), rng.integers(10_000, 20_000, int(rng.integers(0, 12)))])).astype(np.uint64) for _ in range(150)]
+    shard, up = ngram_join.Shard(75), list(range(150))
+    for k, s in enumerate(sets):
+        shard.add(k, None, s)
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for a, b in combinations(range(150), 2):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * shared >= 75 * (len(sets[a]) + len(sets[b]) - shared):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    assert shard.result() == [(k, find(k)) for k in range(150)]
+
+
 def test_ngram_join_repeated_rows_in_two_shards(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHARD_SHINGLES", 400)
     base = [f"w{i}" for i in range(100)]
