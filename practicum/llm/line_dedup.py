@@ -112,6 +112,7 @@ def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int |
     # equal lines collapse before they get keys, so that keys are shuffled once
     lines = lines_of(docs, max(max_edits, CHARS_PER_EDIT * max_edits if min_chars is None else min_chars)).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     lines = scratch(spark, lines, "lines")
+    drop(spark)
     keys = _keys(max_edits)
     parts = []
     for at in range(0, len(keys), KEYS_AT_ONCE):
@@ -126,6 +127,8 @@ def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int |
     # a key needs a filed line and another one
     met = keyed.select("key", line.alias("h1"), filed.alias("filed"), F.floor(mark / 2).cast("int").alias("segment"), F.min(line).over(w).alias("lo"), F.max(line).over(w).alias("hi"), F.max(filed).over(w).alias("any"))
     met = scratch(spark, met.where("lo <> hi AND any").select("key", "h1", "filed", "segment"), "line-keys")
+    del keyed, parts
+    drop(spark)
     wanted = scratch(spark, met.select("h1").distinct(), "lines-wanted")
     small = wanted.count() <= broadcast_rows
     marked = lines.join(F.broadcast(wanted) if small else wanted, "h1").withColumn("_p", F.expr(_points("line")))

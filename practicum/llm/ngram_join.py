@@ -252,16 +252,9 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, d1 long, d2 long, " + ", ".join(f"m{i} long" for i in range(ROUNDS)))
 
 
-def _demanded(n: int, threshold: int) -> int:
-    """Shared prefix shingles that a set of ``n`` needs for any link: the extra of the smallest
-    possible partner."""
-    return max(1, -(-EXTRA * -(-threshold * n // 100) // 100))
-
-
 def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> DataFrame:
     """Per text its prefix shingles, enough of the rarest that linked texts share one: ``tokens``,
-    and apart from them those that are frequent (``often``); ``least``, how many must be shared;
-    ``n``, the set's size."""
+    and apart from them those that are frequent (``often``); ``n``, the set's size."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_KEPT numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,12 +263,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> D
             for part in pieces(batch, "text", PART_BYTES):
                 rare: list[np.ndarray] = []
                 rest: list[np.ndarray] = []
-                least, sizes_of = [], []
+                sizes_of = []
                 for s in shingle_sets(part.column(1), k):
                     n = len(s)
                     # the first shared shingles, as many as both sets' extra, lie within both prefixes
                     most = min(n, n - -(-threshold * n // 100) + max(1, -(-EXTRA * n // 100))) if n else 0
-                    least.append(_demanded(n, threshold))
                     sizes_of.append(n)
                     common = np.zeros(len(s), bool)
                     if len(often) and most:
@@ -286,9 +278,9 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, threshold: int) -> D
                 for found in (rare, rest):
                     sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                     lists.append(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(_signed(np.concatenate(found)))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes_of, pa.int64()), pa.array(least, pa.int32()), *lists], names=["doc_id", "n", "least", "tokens", "often"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes_of, pa.int64()), *lists], names=["doc_id", "n", "tokens", "often"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, least int, tokens array<long>, often array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, tokens array<long>, often array<long>")
 
 
 def search(cells: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -318,11 +310,14 @@ def search(cells: DataFrame, k: int, threshold: int) -> DataFrame:
     return cells.select("cell", "doc_id", "comp", "text").mapInArrow(run, "doc_id long, root long")
 
 
+def _light(ids: DataFrame) -> DataFrame:
+    """A written table of ids. A measured, small number of them goes to every task, which spares the
+    shuffle of what they are joined with; more take part in a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _fetched(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of a written table of ids. A measured, small number of ids goes to every task, which
-    spares the shuffle of all texts; more of them take part in a shuffled join."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    return docs.select("doc_id", "text").join(_light(ids), "doc_id")
 
 
 def _searched(docs: DataFrame, cells: DataFrame, k: int, threshold: int, shard_shingles: int) -> DataFrame:
@@ -426,23 +421,25 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
 
 
 def _undone(tokens: DataFrame) -> DataFrame:
-    """(token, doc_id, comp, n, least) of prefix shingles whose texts are in several classes."""
+    """(token, doc_id, comp, n) of prefix shingles whose texts are in several classes."""
     # rare shingles: their texts, at most three of each task, meet in one shuffle; frequent ones are pre-aggregated by task
-    rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp", "n", "least")
+    rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp", "n")
     together = Window.partitionBy("token")
     rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp", "n", "least")
+    often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp", "n")
     mixed = often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     return rare.unionByName(often.join(mixed, "token"))
 
 
-def _able(undone: DataFrame) -> DataFrame:
+def _able(undone: DataFrame, threshold: int) -> DataFrame:
     """Texts with at least ``least`` undone shingles, without their ``least - 1`` commonest ones."""
     sizes = undone.groupBy("token").agg(F.count("*").alias("texts"))
     own = Window.partitionBy("doc_id")
     commonest = own.orderBy(F.desc("texts"), "token")
+    # linked sets share the extra of the smaller one, and no partner is smaller than the threshold allows;
     # rows of one doc_id with different texts are one node: the least of their demands holds, a shingle counts once
-    ranked = undone.join(sizes, "token").select("token", "doc_id", "comp", "n", F.min("least").over(own).alias("least"), F.dense_rank().over(commonest).alias("place"))
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * threshold / 100) * EXTRA / 100))
+    ranked = undone.join(sizes, "token").select("token", "doc_id", "comp", "n", F.min(least).over(own).alias("least"), F.dense_rank().over(commonest).alias("place"))
     return ranked.where("place >= least").select("token", "doc_id", "comp", "n").distinct()
 
 
@@ -450,9 +447,9 @@ def _complete(spark: SparkSession, docs: DataFrame, described: DataFrame, labels
     """(doc_id, comp) with every link that the reduction has left."""
     often = described.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "d1").limit(FREQUENT_KEPT)
     frequent = np.sort(np.array([r.d1 for r in often.select("d1").collect()], np.int64).view(np.uint64))
-    tokens = scratch(spark, prefixes(docs, frequent, k, threshold).where("doc_id IS NOT NULL AND n > 0").join(labels, "doc_id"), "prefixes")
+    tokens = scratch(spark, prefixes(docs, frequent, k, threshold).where("doc_id IS NOT NULL AND n > 0").join(_light(labels), "doc_id"), "prefixes")
     undone = scratch(spark, _undone(tokens), "undone")
-    groups = scratch(spark, _size_runs(_able(undone), threshold), "groups")
+    groups = scratch(spark, _size_runs(_able(undone, threshold), threshold), "groups")
     drop(spark, tokens, undone)
     for step in ("one of each class", "all"):
         if groups.isEmpty():
@@ -484,9 +481,7 @@ def _complete(spark: SparkSession, docs: DataFrame, described: DataFrame, labels
 
 def _among(rows: DataFrame, id_: str, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join with a written table of ids, broadcast where their number has been measured as small."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, F.col(id_) == F.col("_id"), how)
+    return rows.join(_light(ids.select(F.col("doc_id").alias("_id"))), F.col(id_) == F.col("_id"), how)
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
