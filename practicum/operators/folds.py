@@ -1,11 +1,11 @@
-"""Blocked, seeded folds. All randomness is drawn on the driver over labels or row numbers."""
+"""Blocked, seeded folds. Labels are shuffled on the driver; rows are ranked by a seeded hash where they are."""
 
 from __future__ import annotations
 
 import heapq
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The names of the schemes.
@@ -35,15 +35,25 @@ def shuffled_labels(labels: list[str], n_folds: int, rng: np.random.Generator) -
     return {labels[at]: min(k // span, n_folds - 1) for k, at in enumerate(place)}
 
 
-def row_folds(y: np.ndarray, n_folds: int, rng: np.random.Generator, *, stratified: bool) -> np.ndarray:
-    """Fold of each row number: permuted rows, or rows of each class, split evenly."""
-    out = np.zeros(len(y), np.int64)
-    groups = [np.flatnonzero(y == c) for c in np.unique(y)] if stratified else [np.arange(len(y))]
-    for g in groups:
-        order = g[rng.permutation(len(g))] if stratified else rng.permutation(len(y))
-        for f, part in enumerate(np.array_split(order, n_folds)):
-            out[part] = f
-    return out
+def row_folds(obs: DataFrame, n_folds: int, seed: int, *, stratified: bool) -> DataFrame:
+    """(obs_id, fold): rows, or the rows of each class, in the order of a seeded hash and split evenly.
+
+    Ranks are sums over the hash's leading digits (at most 4096 for a class) and counts within them, so no
+    task holds more than a 4096th of a class.
+    """
+    hashed = obs.select("obs_id", (F.col("y") if stratified else F.lit(0)).alias("class"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("obs_id").cast("string"))).alias("h"))
+    rows = hashed.withColumn("lead", F.substring("h", 1, 3))
+    sizes = rows.groupBy("class", "lead").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("class")
+    ahead = F.coalesce(F.sum("n").over(own.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("class", "lead", ahead.alias("ahead"), F.sum("n").over(own).alias("all"))
+    within = F.row_number().over(Window.partitionBy("class", "lead").orderBy("h", "obs_id"))
+    ranked = rows.withColumn("within", within).join(sizes, ["class", "lead"]).withColumn("rank", F.col("ahead") + F.col("within") - 1)
+    # the first all % n_folds folds are one larger
+    size, larger = F.floor(F.col("all") / n_folds), F.col("all") % n_folds
+    early = F.floor(F.col("rank") / (size + 1))
+    late = larger + F.floor((F.col("rank") - larger * (size + 1)) / F.greatest(size, F.lit(1)))
+    return ranked.select("obs_id", F.when(early < larger, early).otherwise(late).cast("int").alias("fold"))
 
 
 def make_folds(obs: DataFrame, scheme: str, n_folds: int = 3, seed: int | None = None, convention: str = "per_fold") -> DataFrame:
@@ -63,10 +73,7 @@ def make_folds(obs: DataFrame, scheme: str, n_folds: int = 3, seed: int | None =
         table = spark.createDataFrame(list(of.items()), f"{label} string, fold int")
         out = obs.select("obs_id", label).join(table, label).select("obs_id", "fold")
     else:
-        rows = obs.select("obs_id", "y").orderBy("obs_id").toPandas()
-        fold = row_folds(rows["y"].to_numpy(), n_folds, np.random.default_rng(seed or 0), stratified=scheme == "response_stratified")
-        rows["fold"] = fold.astype("int32")
-        out = spark.createDataFrame(rows[["obs_id", "fold"]], "obs_id long, fold int")
+        out = row_folds(obs, n_folds, seed or 0, stratified=scheme == "response_stratified")
     check_folds(out, n_folds)
     return out
 

@@ -59,16 +59,17 @@ class Steps:
     n_obs: int = 0
 
     def summary(self) -> str:
-        kcs = self.obs.select(F.explode("kcs.kc").alias("kc"))
-        s = self.obs.agg(F.count("*").alias("n"), F.countDistinct("student").alias("students"), F.countDistinct("item").alias("items"), F.avg("y").alias("y")).first()
-        skipped = f" | {self.skipped_no_kc:,} rows skipped (no KC)" if self.skipped_no_kc else ""
-        return f"{s.n:,} observations | {s.students} students | {kcs.distinct().count():,} KCs | {s['items']:,} items | {s.y:.2%} correct | model '{self.kc_model}'{skipped}"
+        """Sizes of the table, a fact a line."""
+        size = self.obs.agg(F.count("*").alias("observations"), F.countDistinct("student").alias("students"), F.countDistinct("item").alias("items"), F.round(F.avg("y"), 4).alias("success rate")).first()
+        kcs = self.obs.select(F.explode("kcs.kc").alias("kc")).distinct().count()
+        facts = {"KC model": self.kc_model, **size.asDict(), "KCs": kcs, "rows without KC": self.skipped_no_kc}
+        return "\n".join(f"  {name:<24}{value}" for name, value in facts.items())
 
 
 def row_problem(kc_model: str) -> Column:
     """Why a parsed row cannot be used, as text; null where it can."""
-    lengths = F.format_string(f"%d KC label(s) but %d opportunity value(s) for model '{kc_model}'. KCs=%s opportunities=%s", F.size("labels"), F.size("counts"), F.to_json("labels"), F.to_json("counts"))
-    number = F.format_string(f"non-integer opportunity value in 'Opportunity ({kc_model})' = '%s'. Opportunity counts must be whole numbers, one per KC in %s.", F.col("cell"), F.to_json("labels"))
+    lengths = F.format_string(f"%d labels against %d opportunities under '{kc_model}': %s, %s", F.size("labels"), F.size("counts"), F.to_json("labels"), F.to_json("counts"))
+    number = F.format_string(f"not a whole number in the opportunities under '{kc_model}': '%s' for %s", F.col("cell"), F.to_json("labels"))
     return F.when(F.size("labels") != F.size("counts"), lengths).when(F.exists("numbers", lambda n: n.isNull()), number)
 
 
@@ -101,17 +102,17 @@ def from_frame(df: DataFrame, kc_model: str, *, success_values: tuple[str, ...]
     if found.first_bad is not None and found.first_bad.why is not None:
         raise ValueError(f"Row {found.first_bad.row_id + 2}: {found.first_bad.why}")
     if not found.n_obs:
-        raise ValueError(f"No observations carry a KC under model '{kc_model}'")
+        raise ValueError(f"every row is without a KC under '{kc_model}'")
     success = sorted({v.strip().lower() for v in success_values})
     failure = sorted({v.strip().lower() for v in failure_values})
     strange = vocabulary(rows).where(~F.col("outcome").isin([*success, *failure])).orderBy("outcome").limit(50).collect()
     if strange:
         listed = ", ".join(f"{r.outcome!r} ({r.n:,} rows)" for r in strange)
-        raise ValueError(f"Unrecognized 'First Attempt' value(s): {listed}. Successes are {success} and failures are {failure}.")
+        raise ValueError(f"outcomes outside the vocabulary: {listed}; {success} succeed, {failure} fail")
     if found.y_min == found.y_max:
-        warnings.warn(f"Every observation is a {'success' if found.y_min else 'failure'}; successes are {success}: check the vocabulary before reading a fit.", RuntimeWarning, stacklevel=2)
+        warnings.warn(f"all rows end in {'success' if found.y_min else 'failure'} ({success} succeed); no model can be told from another by them", RuntimeWarning, stacklevel=2)
     if found.negative_rows:
-        raise ValueError("Negative opportunity count after subtracting 1: opportunities are numbered from 1.")
+        raise ValueError("an opportunity is below 1; they are numbered from 1")
     obs = rows.where(F.size("labels") > 0).select(F.col("row_id").alias("obs_id"), "y", "student", "item", "time", "kcs")
     return Steps(obs, kc_model, df, found.skipped_no_kc, found.duplicate_kc_rows, found.n_obs)
 

@@ -60,7 +60,7 @@ def _distributed(designs: dict[str, Design], scheme: str, n_folds: int, seeds: l
     first, out = next(iter(designs.values())), []
     for d in designs.values():
         if not same_coverage(first.obs, d.obs):
-            raise ValueError(f"Designs cover different rows ({first.obs.count()} and {d.obs.count()}); folds cannot be shared, so the comparison would not be paired.")
+            raise ValueError(f"paired folds need the same rows in all designs; found {first.obs.count()} and {d.obs.count()}")
     spark = first.obs.sparkSession
     for seed in seeds:
         # written: every sum of every fit reads them
@@ -77,7 +77,7 @@ def paired_cross_validate(designs: dict[str, Design], *, scheme: str = "item_blo
     ``n_jobs`` is the number of partitions: None or 0 one, -1 as many as there are fits.
     """
     if convention not in CONVENTIONS:
-        raise ValueError(f"convention must be one of {CONVENTIONS}, got {convention!r}")
+        raise ValueError(f"unknown convention {convention!r}; there are {CONVENTIONS}")
     seeds, first = list(seeds), next(iter(designs.values()))
     spark, arrays, ids = first.obs.sparkSession, {}, None
     if any(d.cells.count() > solver.LOCAL_CELLS for d in designs.values()):
@@ -85,13 +85,21 @@ def paired_cross_validate(designs: dict[str, Design], *, scheme: str = "item_blo
     for name, d in designs.items():
         local, rows = solver.local_of(d)
         if ids is not None and rows != ids:
-            raise ValueError(f"Designs cover different rows ({len(ids)} and {len(rows)}); folds cannot be shared, so the comparison would not be paired.")
+            raise ValueError(f"paired folds need the same rows in all designs; found {len(ids)} and {len(rows)}")
         ids = rows
         c = d.indexed().orderBy("col_idx").collect()
         arrays[name] = (local, *(np.array([r[k] for r in c], float) for k in ("l2", "lower", "upper")))
     shared = spark.sparkContext.broadcast(arrays)
-    of = {s: dict(make_folds(first.obs, scheme, n_folds, s, convention).toLocalIterator()) for s in seeds}
-    table = spark.sparkContext.broadcast({s: np.array([f[i] for i in ids], np.int8) for s, f in of.items()})
+    place = np.array(ids, np.int64)
+
+    def fold_of_rows(seed: int | None) -> np.ndarray:
+        """Folds in row order, as one Arrow table of at most as many rows as the designs' arrays have."""
+        found = make_folds(first.obs, scheme, n_folds, seed, convention).toArrow()
+        out = np.empty(len(place), np.int32)
+        out[np.searchsorted(place, found["obs_id"].to_numpy())] = found["fold"].to_numpy()
+        return out
+
+    table = spark.sparkContext.broadcast({s: fold_of_rows(s) for s in seeds})
     jobs = [(k, m, s, f) for k, (s, f, m) in enumerate((s, f, m) for s in seeds for f in range(n_folds) for m in designs)]
     tasks = spark.createDataFrame(jobs, "job int, model string, seed long, fold int")
     parts = 1 if not n_jobs else len(jobs) if n_jobs < 0 else min(n_jobs, len(jobs))
@@ -138,7 +146,7 @@ def repeated_cross_validate(design: Design, *, seeds: Iterable[int], convention:
 
 def paired_scores(folds: DataFrame, convention: str = "pooled") -> DataFrame:
     if convention not in CONVENTIONS:
-        raise ValueError(f"convention must be one of {CONVENTIONS}, got {convention!r}")
+        raise ValueError(f"unknown convention {convention!r}; there are {CONVENTIONS}")
     return folds.groupBy("model", "seed").agg(combined_rmse(convention).alias("rmse"), F.avg("unseen_column_fraction").alias("unseen_column_fraction"), F.bool_and("converged").alias("all_converged"))
 
 

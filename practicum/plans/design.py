@@ -118,11 +118,11 @@ def build_afm_design(steps: Steps | DataFrame, *, learnsphere_compat: bool = Fal
 def build_pfa_design(steps: Steps | DataFrame, *, slopes: str = "per_kc", student_intercepts: bool = False, student_l2: float = 0.0, counts: str = "prior", identify: bool = True) -> Design:
     """Blocks [student], kc_intercept, then success and failure counts per KC or pooled."""
     if slopes not in ("per_kc", "pooled"):
-        raise ValueError(f"slopes must be 'per_kc' or 'pooled', got {slopes!r}")
+        raise ValueError(f"unknown kind of slopes: {slopes!r}; there are per_kc and pooled")
     if counts not in ("prior", "inclusive"):
-        raise ValueError(f"counts must be one of ('prior', 'inclusive'), got {counts!r}")
+        raise ValueError(f"unknown kind of counts: {counts!r}; there are prior and inclusive")
     if counts == "inclusive":
-        warnings.warn("counts='inclusive' puts each response inside its own predictors: fit statistics describe a model that has seen its labels.", UserWarning, stacklevel=2)
+        warnings.warn("inclusive counts contain the outcome they are to predict, so the fit looks better than any forecast would be", UserWarning, stacklevel=2)
     obs = steps.obs if isinstance(steps, Steps) else steps
     rows = counters(obs, inclusive=counts == "inclusive")
     names = rows.select(F.col("kc").alias("col")).distinct()

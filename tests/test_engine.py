@@ -52,17 +52,17 @@ def test_parse_rules(spark):
     assert (s.skipped_no_kc, s.duplicate_kc_rows, s.n_obs) == (2, 1, 2)
     got = {r.obs_id: (r.y, r.item) for r in s.obs.collect()}
     assert got == {0: (1, "p##s"), 2: (0, "p##t")}
-    assert "2 rows skipped" in s.summary()
+    assert ["rows", "without", "KC", "2"] in [line.split() for line in s.summary().splitlines()]
 
 
 @pytest.mark.parametrize(
     "rows,message",
     [
-        ([("a", "p", "s", "correct", "A~~B", "1")], "Row 2: 2 KC label"),
-        ([("a", "p", "s", "correct", "A", "1"), ("a", "p", "s", "correct", "A", "1.5")], "Row 3: non-integer"),
-        ([("a", "p", "s", "correct", "", "")], "No observations carry a KC"),
+        ([("a", "p", "s", "correct", "A~~B", "1")], "Row 2: 2 labels against 1"),
+        ([("a", "p", "s", "correct", "A", "1"), ("a", "p", "s", "correct", "A", "1.5")], "Row 3: not a whole number"),
+        ([("a", "p", "s", "correct", "", "")], "every row is without a KC"),
         ([("a", "p", "s", "right", "A", "1"), ("a", "p", "s", "right", "A", "2")], r"'right' \(2 rows\)"),
-        ([("a", "p", "s", "correct", "A", "0"), ("a", "p", "s", "hint", "A", "1")], "Negative opportunity"),
+        ([("a", "p", "s", "correct", "A", "0"), ("a", "p", "s", "hint", "A", "1")], "below 1"),
     ],
 )
 def test_parse_errors(spark, rows, message):
@@ -120,7 +120,7 @@ def test_identification_cases(spark):
     d = build_afm_design(parse.observations(frame(spark, cohorts), "M"))
     assert d.aliased_rows() == [(f"student:c{c}s3", f"reference level (student/KC sum redundancy), component {c + 1} of 2") for c in range(2)]
     assert identify.rank(d) == d.n_params
-    assert identify.aliased_summary([c for c, _ in d.aliased_rows()]) == "2 aliased column(s) dropped (2 from student)"
+    assert identify.tally([c for c, _ in d.aliased_rows()]) == "student 2"
     multi = [(f"s{s}", "p", f"i{k}", "correct" if (s + k) % 2 else "hint", "C" if k % 3 else "C~~D", "1" if k % 3 else "1~~1") for s in range(4) for k in range(6)]
     assert build_afm_design(parse.observations(frame(spark, multi), "M"), identify=False).kc_per_row() is None
 
@@ -234,7 +234,7 @@ def test_folds_partition_and_repeat(steps, scheme):
 
 def test_fold_rules():
     assert folds.label_kfold([("a", 5), ("b", 3), ("c", 3), ("d", 1)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
-    assert parse_seeds("0:3") == [0, 1, 2] and parse_seeds("4,7") == [4, 7] and parse_seeds("") is None
+    assert parse_seeds("0:3") == [0, 1, 2] and parse_seeds(" 4,,7, ") == [4, 7] and parse_seeds("0:2,9") == [0, 1, 9] and parse_seeds("") is parse_seeds("0:0") is parse_seeds(None) is None
     with pytest.raises(ValueError, match="cannot fill"):
         folds.shuffled_labels(["a"], 3, np.random.default_rng(0))
 
@@ -296,6 +296,30 @@ def test_program_falls_back_and_refuses(spark, tmp_path, capsys):
     assert cli.main([path, "--cv", "none", "--cv", "item_blocked"]) == 1
 
 
+def test_list_models_of_a_plain_file_and_parity_of_defaults(spark, tmp_path, capsys):
+    plain = tmp_path / "plain.txt"
+    plain.write_text("a\tb\n1\t2\n")
+    assert cli.main([str(plain), "--list-models"]) == 0 and "no KC models" in capsys.readouterr().out
+    assert cli.main([str(plain)]) == 1
+    args = cli.build_parser("pfa").parse_args(["x", "--method", "TNC"])
+    assert (args.convention, args.jobs, args.folds, args.max_fun) == ("per_fold", 1, 3, 100)
+
+
+def test_synthetic_table_is_seeded_and_fits(spark):
+    from practicum.sources.synthetic import synthetic_steps
+
+    table = synthetic_steps(spark)
+    assert table.count() == 480 and table.exceptAll(synthetic_steps(spark).repartition(3)).isEmpty()
+    assert not table.exceptAll(synthetic_steps(spark, seed=8)).isEmpty()
+    steps = parse.from_frame(table, "Skills")
+    assert steps.n_obs == 480 and steps.obs.select("student").distinct().count() == 12
+
+
+def test_two_hundred_folds(spark, steps):
+    kept = folds.row_folds(spark.range(2000).selectExpr("id AS obs_id", "CAST(id % 3 = 0 AS INT) AS y"), 200, 1, stratified=True).toPandas()
+    assert kept["fold"].nunique() == 200 and kept.groupby("fold").size().between(9, 11).all()
+
+
 def test_streamed_counters_equal_batch(spark, tmp_path, steps):
     from practicum.streaming.history import OUT, stream_counters
 
