@@ -12,6 +12,7 @@ from .operators import folds, history, identify, parse
 from .plans import crossval, fit
 from .plans.design import Design, accumulator_block, build_afm_design, build_pfa_design
 from .sources.steps import EVENT_STEPS_SQL, steps_from_events
+from .sources.synthetic import synthetic_steps as make_steps
 
 MODELS = ("Coarse", "Fine", "Multi", "Cohort")
 
@@ -230,9 +231,12 @@ def user_accumulator(spark, sf):
 # ---- identification ---------------------------------------------------------------------------
 
 
-@query(_o("Fine") + ", " + _AFM_CELLS + ", " + _COLUMNS + "SELECT block, col FROM l WHERE (block, col) NOT IN (SELECT (block, col) FROM c)")
+@query(_o("Fine") + ", " + _AFM_CELLS + ", " + _COLUMNS + ", r AS (SELECT DISTINCT obs_id FROM x WHERE opp = 0 OR kc < 'k5'), h AS (SELECT DISTINCT block, col FROM c JOIN r USING (obs_id)) SELECT block, col FROM l WHERE (block, col) NOT IN (SELECT (block, col) FROM h)")
 def dead_columns(spark, sf):
-    return identify.dead_columns(build_afm_design(_obs(spark, sf, "Fine"), identify=False)).select("block", "col")
+    """Among first practices of the later KCs, whose slopes have no cell there."""
+    obs = _obs(spark, sf, "Fine")
+    first = history.exploded(obs).where("opp = 0 OR kc < 'k5'").select("obs_id")
+    return identify.dead_columns(build_afm_design(obs, identify=False).take(first)).select("block", "col")
 
 
 _TWIN = _BASE + "o AS (SELECT row_id AS obs_id FROM e WHERE kc_coarse <> ''), t AS (SELECT row_id AS obs_id, kc_coarse AS kc FROM e WHERE kc_coarse <> '') "
@@ -387,7 +391,7 @@ def unseen_columns(spark, sf):
     return folds.unseen_rows(build_afm_design(obs, identify=False), folds.make_folds(obs, "item_blocked"))
 
 
-@query("SELECT * FROM (VALUES ('Coarse', 'Cohort', true), ('Coarse', 'Fine', false), ('Fine', 'Multi', true)) AS v(a, b, same)")
+@query(_BASE + "n AS (SELECT count(*) FILTER ((kc_coarse = '') <> (kc_cohort = '')) AS ab, count(*) FILTER ((kc_coarse = '') <> (kc_fine = '')) AS ac, count(*) FILTER ((kc_fine = '') <> (kc_multi = '')) AS cd FROM e) SELECT 'Coarse' AS a, 'Cohort' AS b, ab = 0 AS same FROM n UNION ALL SELECT 'Coarse', 'Fine', ac = 0 FROM n UNION ALL SELECT 'Fine', 'Multi', cd = 0 FROM n")
 def coverage_equality(spark, sf):
     pairs = (("Coarse", "Cohort"), ("Coarse", "Fine"), ("Fine", "Multi"))
     return spark.createDataFrame([(a, b, folds.same_coverage(_obs(spark, sf, a), _obs(spark, sf, b))) for a, b in pairs], "a string, b string, same boolean")
@@ -510,3 +514,73 @@ def repeated_cross_validate(spark, sf):
 def paired_cross_validate(spark, sf):
     designs = {"AFM": build_afm_design(_obs(spark, sf)), "PFA": build_pfa_design(_obs(spark, sf))}
     return crossval.paired_cross_validate(designs, seeds=[0, 1], n_jobs=-1)
+
+
+# ---- fits with a closed form: KC intercepts alone give each KC's success rate -------------------
+
+
+def _intercepts(obs: DataFrame) -> Design:
+    d = build_pfa_design(obs, identify=False)
+    return d.without(d.columns.where("block <> 'kc_intercept'"))
+
+
+_RATE = _o("Coarse") + ", r AS (SELECT cell AS kc, sum(y) AS s, count(*) AS n FROM o GROUP BY cell), q AS (SELECT kc, s, n, CAST(s AS DOUBLE) / n AS p FROM r WHERE s > 0 AND s < n) "
+
+
+@query(_RATE + "SELECT 'kc_intercept' AS block, kc AS col, round(ln(s / (n - s)), 5) AS estimate FROM q")
+def intercept_fit(spark, sf):
+    f = fit.fit_logistic(_intercepts(_obs(spark, sf)))
+    return f.coefficients.select("block", "col", _round("estimate", 5).alias("estimate"))
+
+
+@query(_RATE + ", t AS (SELECT sum(s * ln(p) + (n - s) * ln(1 - p)) AS ll, CAST(sum(n) AS BIGINT) AS n, CAST(count(*) AS INT) AS k, sum(s * (1 - p) ** 2 + (n - s) * p ** 2) / sum(n) AS brier FROM q) SELECT n AS n_obs, k AS n_params, round(ll, 4) AS ll, round(2 * k - 2 * ll, 4) AS aic, round(k * ln(n) - 2 * ll, 4) AS bic, round(sqrt(brier), 6) AS rmse FROM t")
+def intercept_fit_statistics(spark, sf):
+    f = fit.fit_logistic(_intercepts(_obs(spark, sf)))
+    row = (f.n_obs, f.n_params, round(f.ll, 4), round(f.aic, 4), round(f.bic, 4), round(f.rmse, 6))
+    return spark.createDataFrame([row], "n_obs long, n_params int, ll double, aic double, bic double, rmse double")
+
+
+_HELD = _KFOLD + (
+    ", b AS (SELECT 'Coarse' AS model, obs_id, y, cell AS kc FROM o UNION ALL SELECT 'Cohort', o.obs_id, o.y, e.kc_cohort FROM o JOIN e ON e.row_id = o.obs_id), bf AS (SELECT b.*, fold FROM b JOIN fo USING (obs_id)), "
+    "t AS (SELECT model, kc, fold, sum(y) AS s, count(*) AS n FROM bf GROUP BY ALL), tt AS (SELECT model, kc, fold, sum(s) OVER w - s AS st, sum(n) OVER w - n AS nt FROM t WINDOW w AS (PARTITION BY model, kc)), "
+    "sc AS (SELECT model, fold, count(*) AS n_test, sum((y - CASE WHEN nt = 0 THEN 0.5 ELSE CAST(st AS DOUBLE) / nt END) ** 2) AS sse, avg(CASE WHEN nt = 0 THEN 1.0 ELSE 0.0 END) AS unseen FROM bf JOIN tt USING (model, kc, fold) GROUP BY model, fold) "
+)
+
+
+@query(_HELD + "SELECT fold, (SELECT count(*) FROM fo) - n_test AS n_train, n_test, round(sqrt(sse / n_test), 5) AS rmse, round(unseen, 6) AS unseen_column_fraction FROM sc WHERE model = 'Coarse'")
+def intercept_cross_validate(spark, sf):
+    f = crossval.cross_validate(_intercepts(_obs(spark, sf)), n_jobs=-1).frame
+    return f.select("fold", "n_train", "n_test", _round("rmse", 5).alias("rmse"), _round("unseen_column_fraction").alias("unseen_column_fraction"))
+
+
+@query(_HELD + ", d AS (SELECT sqrt(a.sse / a.n_test) - sqrt(b.sse / b.n_test) AS diff FROM sc a JOIN sc b USING (fold) WHERE a.model = 'Cohort' AND b.model = 'Coarse') SELECT 'Cohort' AS model, round(avg(diff), 5) AS mean_diff, round(stddev_samp(diff), 5) AS sd_diff, count(*) AS n_folds, 'Coarse' AS baseline FROM d")
+def intercept_paired_contrasts(spark, sf):
+    designs = {m: _intercepts(_obs(spark, sf, m)) for m in ("Coarse", "Cohort")}
+    folds_ = crossval.paired_cross_validate(designs, seeds=(None,), convention="per_fold", n_jobs=-1)
+    c = crossval.paired_contrasts(spark.createDataFrame(folds_.toArrow()), "Coarse")
+    return c.select("model", _round("mean_diff", 5).alias("mean_diff"), _round("sd_diff", 5).alias("sd_diff"), "n_folds", "baseline")
+
+
+_SHARES = _o("Coarse") + ", h AS (SELECT obs_id, y, md5('3:' || obs_id) AS h FROM o), r AS (SELECT obs_id, 0 AS c, row_number() OVER (ORDER BY h, obs_id) - 1 AS k, count(*) OVER () AS n, 'unstratified' AS scheme FROM h UNION ALL SELECT obs_id, y, row_number() OVER (PARTITION BY y ORDER BY h, obs_id) - 1, count(*) OVER (PARTITION BY y), 'response_stratified' FROM h) "
+
+
+@query(_SHARES + "SELECT scheme, obs_id, CAST(CASE WHEN k < (n % 3) * (n // 3 + 1) THEN k // (n // 3 + 1) ELSE n % 3 + (k - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INT) AS fold FROM r")
+def row_kfold(spark, sf):
+    obs, out = _obs(spark, sf), None
+    for scheme in ("unstratified", "response_stratified"):
+        one = folds.make_folds(obs, scheme, seed=3).select(F.lit(scheme).alias("scheme"), "obs_id", "fold")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _u(*key: str) -> str:
+    return "CAST(('0x' || substr(md5(concat_ws(':', '7', " + ", ".join(key) + ")), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    "WITH a AS (SELECT range AS row_id, range // 40 AS s, range % 40 AS t FROM range(480)), z AS (SELECT *, (2 * " + _u("'student'", "s") + " - 1) + (2 * " + _u("'ease'", "t % 4") + " - 1) + 0.3 * " + _u("'slope'", "t % 4") + " * (t // 4) AS z FROM a) "
+    "SELECT row_id, printf('S%03d', s) AS student, CASE WHEN " + _u("'attempt'", "row_id") + " < 1 / (1 + exp(-z)) THEN 'correct' ELSE 'incorrect' END AS attempt, 'topic' || (t % 4) AS topic, CAST(t // 4 + 1 AS VARCHAR) AS topic_opportunity, 'skill' || (t % 12) AS skill, CAST(t // 12 + 1 AS VARCHAR) AS skill_opportunity FROM z"
+)
+def synthetic_steps(spark, sf):
+    names = {"Anon Student Id": "student", "First Attempt": "attempt", "KC (Topics)": "topic", "Opportunity (Topics)": "topic_opportunity", "KC (Skills)": "skill", "Opportunity (Skills)": "skill_opportunity"}
+    return make_steps(spark).select("row_id", *[F.col(f"`{a}`").alias(b) for a, b in names.items()])
