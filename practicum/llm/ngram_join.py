@@ -60,7 +60,7 @@ PART_BYTES = 2_000_000
 MOST_PARTS = 8
 #: By how many hundredths of a set its prefix is longer than the least.
 EXTRA = 10
-#: Up to this many ids (8 bytes each) are broadcast to fetch or drop texts.
+#: Up to this many rows of ids (at most 32 bytes each) are broadcast to fetch or drop texts.
 BROADCAST_IDS = 1_000_000
 #: Frequent shingles: reported by a task from this count on, kept up to this many.
 FREQUENT_IN_TASK, FREQUENT_KEPT = 4, 200_000
@@ -316,20 +316,15 @@ def _light(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _fetched(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(_light(ids), "doc_id")
-
-
 def _searched(docs: DataFrame, cells: DataFrame, k: int, threshold: int, shard_shingles: int) -> DataFrame:
     """Links of a written table of cells (cell, doc_id, comp, n), written."""
     spark = docs.sparkSession
-    ids = scratch(spark, cells.select("doc_id").distinct(), "ids")
     # work follows shingles rather than bytes, so the number of tasks does too
     work = cells.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + 2 * work // shard_shingles)
-    rows = _fetched(ids, docs).join(cells, "doc_id").repartition(tasks, "cell").sortWithinPartitions("cell", F.xxhash64("doc_id"), "doc_id")
+    rows = docs.select("doc_id", "text").join(_light(cells), "doc_id").repartition(tasks, "cell").sortWithinPartitions("cell", F.xxhash64("doc_id"), "doc_id")
     found = scratch(spark, search(rows, k, threshold), "found")
-    drop(spark, cells, ids)
+    drop(spark, cells)
     return found
 
 
@@ -421,25 +416,24 @@ def classes_of(docs: DataFrame, *, k: int = SHINGLE, threshold: int = THRESHOLD,
 
 
 def _undone(tokens: DataFrame) -> DataFrame:
-    """(token, doc_id, comp, n) of prefix shingles whose texts are in several classes."""
+    """(token, doc_id, comp, n, texts) of prefix shingles whose texts are in several classes."""
     # rare shingles: their texts, at most three of each task, meet in one shuffle; frequent ones are pre-aggregated by task
     rare = tokens.select(F.explode("tokens").alias("token"), "doc_id", "comp", "n")
     together = Window.partitionBy("token")
-    rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    rare = rare.select("*", F.min("comp").over(together).alias("lo"), F.max("comp").over(together).alias("hi"), F.count("*").over(together).alias("texts")).where("lo <> hi").drop("lo", "hi")
     often = tokens.where("size(often) > 0").select(F.explode("often").alias("token"), "doc_id", "comp", "n")
-    mixed = often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    mixed = often.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("texts")).where("lo <> hi").select("token", "texts")
     return rare.unionByName(often.join(mixed, "token"))
 
 
 def _able(undone: DataFrame, threshold: int) -> DataFrame:
     """Texts with at least ``least`` undone shingles, without their ``least - 1`` commonest ones."""
-    sizes = undone.groupBy("token").agg(F.count("*").alias("texts"))
     own = Window.partitionBy("doc_id")
     commonest = own.orderBy(F.desc("texts"), "token")
     # linked sets share the extra of the smaller one, and no partner is smaller than the threshold allows;
     # rows of one doc_id with different texts are one node: the least of their demands holds, a shingle counts once
     least = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * threshold / 100) * EXTRA / 100))
-    ranked = undone.join(sizes, "token").select("token", "doc_id", "comp", "n", F.min(least).over(own).alias("least"), F.dense_rank().over(commonest).alias("place"))
+    ranked = undone.select("token", "doc_id", "comp", "n", F.min(least).over(own).alias("least"), F.dense_rank().over(commonest).alias("place"))
     return ranked.where("place >= least").select("token", "doc_id", "comp", "n").distinct()
 
 
