@@ -38,11 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Spark's setting for removing the shuffle files of a statement as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, df: DataFrame, tag: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back: lineage ends there."""
+    """Write ``df`` to the shared folder and return the table read back: lineage ends there, so the
+    shuffle files that led to it go when it is whole."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.scratch_path = path
     return table
