@@ -25,6 +25,7 @@ blocks; further columns of the input are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -42,6 +43,8 @@ END_ID = 0
 BLOCK_IDS = 1 << 22
 STEPS = 256
 CACHE_PIECES = 1_500_000
+#: The cache's table has so many bits of slots; a piece is in one of PROBES slots that follow one another.
+SLOT_BITS, PROBES = 22, 4
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"PTB1"
 PIECES_AT_ONCE = 500
@@ -55,8 +58,8 @@ _PLAIN = re.compile(r"[\t\n\r -~¡-©«¬®-±´¶-¸»¿-ȳΑ-ΡΣ-ώА-я‐-
 _HASH_BITS = 21
 _CONF_BITS = 3
 _CONF = 1 << _CONF_BITS
-_SURER = np.minimum(np.arange(_CONF, dtype=np.int32) + 1, _CONF - 1)
-_LESS = np.arange(_CONF, dtype=np.int32) >> 1
+#: The next confidence after a miss (first half: half of it) and after a hit (second: one more).
+_NEXT = np.concatenate([np.arange(_CONF, dtype=np.int32) >> 1, np.minimum(np.arange(_CONF, dtype=np.int32) + 1, _CONF - 1)])
 _ONE = np.uint64(1)
 _32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
@@ -128,44 +131,70 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # entry 0 is no piece: slots that hold nothing point to it
+        self.slots = np.zeros((1 << SLOT_BITS) + PROBES, np.int32)
+        self.keys, self.checks = np.zeros(1, np.uint64), np.zeros(1, np.uint64)
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.int32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece. Lines of one text are matches of their own, so many pieces go as one text
-        and its ids are cut by the bytes they stand for; blanks go one by one."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
-        lines = [i for i, p in enumerate(pieces) if not p.isspace()]
-        blank = [i for i, p in enumerate(pieces) if p.isspace()]
+    def _pieces(self, pieces: list[str], sizes: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces laid end to end, and where each piece's begin and how many they are. Lines of
+        one text are matches of their own, so many pieces go as one text and its ids are cut by the bytes
+        they stand for (``sizes``); ``blank`` pieces go one by one."""
+        first, count = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        flat: list[np.ndarray] = []
+        ahead = 0
+        lines = np.flatnonzero(~blank)
         groups = [lines[i : i + PIECES_AT_ONCE] for i in range(0, len(lines), PIECES_AT_ONCE)]
-        for group, made in zip(groups, self._whole(["\n".join([pieces[i] for i in g]) for g in groups]), strict=True):
+        for group, made in zip(groups, self._whole(["\n".join([pieces[i] for i in g.tolist()]) for g in groups]), strict=True):
             ids = np.array(made, np.int32)
             ends = np.cumsum(self.bytes_of[ids])
-            size = np.array([len(pieces[i].encode()) for i in group])
-            stop = np.cumsum(size + 1) - 1
+            stop = np.cumsum(sizes[group] + 1) - 1
+            start = stop - sizes[group]
             last = np.searchsorted(ends, stop)
-            first = np.searchsorted(ends, stop - size, "right")
-            if (ends[last] != stop).any() or (np.concatenate([[0], ends])[first] != stop - size).any():
+            begin = np.searchsorted(ends, start, "right")
+            if (ends[last] != stop).any() or (np.concatenate([[0], ends])[begin] != start).any():
                 raise ValueError("the tokenizer does not cut lines as its pattern says")
-            for i, a, b in zip(group, first.tolist(), last.tolist(), strict=True):
-                out[i] = ids[a : b + 1]
-        for i, made in zip(blank, self._whole([pieces[i] for i in blank]), strict=True):
-            out[i] = np.array(made, np.int32)
-        return out
-
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str]) -> None:
-        made = self._pieces(pieces)
-        size = np.array([len(m) for m in made], np.int64)
-        first = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, *made])
-        keys = np.concatenate([self.keys, keys])
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.checks = keys[by], np.concatenate([self.checks, checks])[by]
-        self.first, self.size = np.concatenate([self.first, first])[by], np.concatenate([self.size, size])[by]
+            first[group], count[group] = ahead + begin, last + 1 - begin
+            flat.append(ids)
+            ahead += len(ids)
+        spaces = np.flatnonzero(blank).tolist()
+        for i, made in zip(spaces, self._whole([pieces[i] for i in spaces]), strict=True):
+            first[i], count[i] = ahead, len(made)
+            flat.append(np.array(made, np.int32))
+            ahead += len(made)
+        return np.concatenate(flat), first, count
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, 0 where there is none."""
+        slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        entry = self.slots.take(slot)
+        found = np.where(self.keys.take(entry) == keys, entry, 0)
+        for probe in range(1, PROBES):
+            left = np.flatnonzero(found == 0)
+            if not len(left):
+                break
+            entry = self.slots.take(slot[left] + probe)
+            found[left] = np.where(self.keys.take(entry) == keys[left], entry, 0)
+        return found
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[str], sizes: np.ndarray, blank: np.ndarray) -> np.ndarray:
+        """Enter pieces; their entries. One that finds its slots taken is not found again, but learned anew."""
+        ids, first, count = self._pieces(pieces, sizes, blank)
+        entry = len(self.keys) + np.arange(len(keys))
+        self.first, self.size = np.concatenate([self.first, len(self.ids) + first]), np.concatenate([self.size, count])
+        self.ids = np.concatenate([self.ids, ids])
+        self.keys, self.checks = np.concatenate([self.keys, keys]), np.concatenate([self.checks, checks])
+        slot, left = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64), np.arange(len(keys))
+        for probe in range(PROBES):
+            at = slot[left] + probe
+            free = self.slots[at] == 0
+            self.slots[at[free]] = entry[left[free]]
+            left = left[self.slots[at] != entry[left]]
+        return entry
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         whole = "".join(texts)
@@ -175,18 +204,19 @@ class Encoder:
             return [np.zeros(0, np.int32)] * len(texts)
         begin = cut(points, off)
         key = hash_pieces(points, begin, _POINT)
-        check = np.add.reduceat(points, begin, dtype=np.uint64) << np.uint64(24) ^ np.diff(np.append(begin, len(points))).astype(np.uint64)
+        stop = np.append(begin[1:], len(points))
+        check = np.add.reduceat(points, begin, dtype=np.uint64) << np.uint64(24) ^ (stop - begin).astype(np.uint64)
         if len(self.keys) > CACHE_PIECES:
             self._reset()
-        unique, at, back = np.unique(key, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
-        known = self.keys[place] == unique if len(self.keys) else np.zeros(len(unique), bool)
-        if not known.all():
-            stop = np.append(begin[1:], len(points))
-            new = at[~known]
-            self._learn(unique[~known], check[new], [whole[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, unique)
-        slot = place[back]
+        slot = self._find(key)
+        new = np.flatnonzero(slot == 0)
+        if len(new):
+            unique, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            at = new[at]
+            a, b = begin[at], stop[at]
+            sizes = np.concatenate([[0], np.cumsum(1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF))])
+            entry = self._learn(unique, check[at], [whole[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], sizes[b] - sizes[a], _KIND[points[b - 1]] == _BLANK)
+            slot[new] = entry[back]
         if (self.checks[slot] != check).any():  # two pieces of one 64-bit key
             return [np.array(x, np.int32) for x in self._whole(texts)]
         size = self.size[slot]
@@ -218,13 +248,14 @@ _encoders: dict[str, Encoder] = {}
 def encoder_of(path: str) -> Encoder:
     """One encoder per worker process: tasks that reuse the worker find its cache filled."""
     if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
 def _followed(ids: np.ndarray, hit: np.ndarray, guess: np.ndarray, sure: np.ndarray) -> np.ndarray:
     """New entries: a hit is surer, a miss less sure, and replaces a guess that is hardly sure."""
-    return (np.where(sure < 2, ids, guess) << _CONF_BITS) + np.where(hit, _SURER[sure], _LESS[sure])
+    return (np.where(sure < 2, ids, guess) << _CONF_BITS) + _NEXT.take(sure + _CONF * hit)
 
 
 class Model:
@@ -245,24 +276,24 @@ class Model:
         """Candidates for the next ids, and the lane's mixture: edges of (order 2, order 1, order 0)."""
         self.one, self.two = self.one[:lanes], self.two[:lanes]
         self.slot = ((self.one * 0x9E3779B1 + self.two * 0x85EBCA6B) >> 7) & ((1 << _HASH_BITS) - 1)
-        entry2, entry1 = self.after2[self.slot], self.after1[self.one]
+        entry2, entry1 = self.after2.take(self.slot), self.after1.take(self.one)
         self.guess2, self.guess1 = entry2 >> _CONF_BITS, entry1 >> _CONF_BITS
         self.c2, self.c1 = entry2 & (_CONF - 1), entry1 & (_CONF - 1)
         self.state = (self.c2 * _CONF + self.c1) * 2 + (self.guess1 == self.guess2)
-        self.edge1, self.edge2, self.edge3 = np.cumsum(self.weights, 1, dtype=np.int64).T[:, self.state]
+        edges = np.cumsum(self.weights, 1).astype(np.uint64)
+        self.shares, self.starts, self.totals = self.weights.astype(np.uint64), edges - self.weights.astype(np.uint64), np.ascontiguousarray(edges[:, 2])
 
-    def interval(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def decide(self, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, size and total of the chosen predictor's share."""
-        start = np.where(choice == 0, 0, np.where(choice == 1, self.edge1, self.edge2))
-        stop = np.where(choice == 0, self.edge1, np.where(choice == 1, self.edge2, self.edge3))
-        return start.astype(np.uint64), (stop - start).astype(np.uint64), self.edge3.astype(np.uint64)
+        self.cell = self.state * 3 + choice
+        return self.starts.take(self.cell), self.shares.take(self.cell), self.totals.take(self.state)
 
     def choice(self, ids: np.ndarray) -> np.ndarray:
         """Which predictor codes each id: 0 order 2, 1 order 1, 2 order 0."""
         return np.where(ids == self.guess2, 0, np.where(ids == self.guess1, 1, 2))
 
     def update(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        cells = np.bincount(self.state * 3 + choice, minlength=self.weights.size).reshape(self.weights.shape)
+        cells = np.bincount(self.cell, minlength=self.weights.size).reshape(self.weights.shape)
         self.weights += cells * 2
         big = self.weights.sum(1) > 1 << 15
         self.weights[big] = (self.weights[big] >> 1) + 1
@@ -317,7 +348,7 @@ def compress(ids: np.ndarray, symbols: int) -> bytes:
         x = grid[step, :active]
         model.predict(active)
         choice = model.choice(x)
-        code(slice(0, active), *model.interval(choice))
+        code(slice(0, active), *model.decide(choice))
         rare = np.flatnonzero(choice == 2)
         if len(rare):
             r = x[rare]
@@ -374,17 +405,20 @@ def decompress(data: bytes) -> np.ndarray:
             break
         model.predict(active)
         part = slice(0, active)
-        unit = wide[part] // model.edge3.astype(np.uint64)
+        unit = wide[part] // model.totals.take(model.state)
         value = (code[part] - low[part]) // unit
-        choice = (value >= model.edge1.astype(np.uint64)).astype(np.int64) + (value >= model.edge2.astype(np.uint64))
-        start, size, _ = model.interval(choice)
+        # starts of the second and third share
+        choice = (value >= model.starts[:, 1].take(model.state)).astype(np.int64) + (value >= model.starts[:, 2].take(model.state))
+        start, size, _ = model.decide(choice)
         narrow(part, unit, start, size)
         x = np.where(choice == 0, model.guess2, model.guess1)
         rare = np.flatnonzero(choice == 2)
         if len(rare):
             unit = wide[rare] // np.uint64(model.total)
             value = np.minimum((code[rare] - low[rare]) // unit, np.uint64(model.total - 1)).astype(np.int64)
-            r = np.searchsorted(model.edges, value, "right") - 1
+            by = np.argsort(value)
+            r = np.empty(len(rare), np.int64)
+            r[by] = np.searchsorted(model.edges, value[by], "right") - 1
             x[rare] = r
             narrow(rare, unit, model.edges[r].astype(np.uint64), model.counts[r].astype(np.uint64))
         grid[step, :active] = x
