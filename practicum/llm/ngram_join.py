@@ -366,10 +366,11 @@ def _cells(spark: SparkSession, groups: DataFrame, shard_shingles: int) -> DataF
     is one cell, so each of its texts is sent once. A larger one is cut into pairs of parts. Of more
     than ``MOST_PARTS`` parts every token is a block of its own, cut likewise.
     """
-    node = F.xxhash64(F.lit(1), "doc_id")
-    blocks = components(spark, groups.select(F.col("token").alias("a"), node.alias("b")))
-    texts = groups.groupBy("doc_id", "comp").agg(F.max("n").alias("n")).withColumn("node", node)
-    placed = texts.join(blocks, "node", "left").select("doc_id", "comp", "n", F.coalesce("root", "node").alias("key"))
+    # a token joins its texts to the least of them: texts are far fewer than tokens, and so are their edges
+    lowest = groups.groupBy("token").agg(F.min("doc_id").alias("low"))
+    blocks = components(spark, groups.join(lowest, "token").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    texts = groups.groupBy("doc_id", "comp").agg(F.max("n").alias("n"))
+    placed = texts.join(blocks, texts["doc_id"] == blocks["node"], "left").select("doc_id", "comp", "n", F.coalesce("root", "doc_id").alias("key"))
     placed = scratch(spark, placed, "placed")
 
     def parts(rows: DataFrame) -> DataFrame:

@@ -415,3 +415,22 @@ def test_ngram_join_repeated_rows_in_two_shards(spark, monkeypatch):
     rows = [(i, " ".join([*base, f"x{i}"])) for i in range(24) for _ in range(3)]
     got = ngram_join.classes_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0) for i, _ in rows]
+
+
+def test_ngram_blocks_are_joined_by_texts(spark, monkeypatch):
+    """Edges of blocks are counted in texts; shingles, of which each text has many, are no nodes."""
+    seen = []
+
+    def counted(session, edges):
+        seen.append(edges.distinct().count())
+        return components(session, edges)
+
+    components = ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", counted)
+    rows = [(100 * block + token, 10 * block + doc, doc, 40) for block in range(2) for token in range(30) for doc in range(4) if token or doc < 3]
+    cells = ngram_join._cells(spark, spark.createDataFrame(rows, "token long, doc_id long, comp long, n long"), 1000)
+    by_cell = {}
+    for r in cells.collect():
+        by_cell.setdefault(r.cell, set()).add(r.doc_id)
+    assert sorted(map(sorted, by_cell.values())) == [[0, 1, 2, 3], [10, 11, 12, 13]]
+    assert seen[0] <= len(rows) // 28
