@@ -8,8 +8,8 @@ that the number of edits on either side of a segment allows. Placing from both e
 the same for all partner lengths of a bucket. Equal lines are one line throughout.
 
 Keys carry one hash of the line. Lines that share a key meet in one equi-join, whose condition
-holds parities of characters and of pairs of characters against what so many edits can change; it
-puts out few pairs but links. Each pair is then verified by banded bit-parallel edit distance:
+holds parities of characters and of pairs of characters against what so many edits can change, and
+verifies the pairs that pass, so it puts out links only. That takes a banded bit-parallel edit distance:
 a column of the band is two words of bits, the vertical steps up and down, and a text character takes
 a dozen word operations (``aggregate`` over bigint).
 
@@ -85,7 +85,7 @@ _SINGLES = "aggregate(_p, 0L, (m, c) -> m ^ shiftleft(1L, c & 63))"
 _DOUBLES = "aggregate(transform(_p, (c, i) -> (coalesce(get(_p, i - 1), 0) * 31 + c) & 63), 0L, (m, c) -> m ^ shiftleft(1L, c))"
 
 
-def edit_distance(a: str, b: str, most: int) -> Column:
+def _distance(a: str, b: str, most: int) -> str:
     """Edit distance of two array<int> columns whose sizes differ by at most ``most`` and are not below
     it; exact up to ``most``, larger than that beyond.
 
@@ -101,7 +101,11 @@ def edit_distance(a: str, b: str, most: int) -> Column:
     step = f"if(row >= {bottom}, 1L - (shiftright(d, {bottom}) & 1L), (shiftright({up}, row) & 1L) - (shiftright(d & s.vp, row) & 1L))".replace("row", f"({row})")
     state = f"named_struct('vp', ((d & s.vp) | ~(shiftright(d, 1) | {up})) & {band}L, 'vn', shiftright(d, 1) & {up}, 'dist', s.dist + {step})"
     first = f"named_struct('vp', {band ^ ((1 << most) - 1)}L, 'vn', 0L, 'dist', {most}L)"
-    return F.expr(f"aggregate({columns}, {first}, (s, c) -> element_at(transform(array({diagonal}), d -> {state}), 1)).dist").cast("int")
+    return f"aggregate({columns}, {first}, (s, c) -> element_at(transform(array({diagonal}), d -> {state}), 1)).dist"
+
+
+def edit_distance(a: str, b: str, most: int) -> Column:
+    return F.expr(_distance(a, b, most)).cast("int")
 
 
 def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -134,9 +138,9 @@ def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int |
     marked = lines.join(F.broadcast(wanted) if small else wanted, "h1").withColumn("_p", F.expr(_points("line")))
     texts = scratch(spark, marked.select("h1", "h2", "line", F.size("_p").alias("n"), F.expr(_SINGLES).alias("singles"), F.expr(_DOUBLES).alias("doubles"), F.array(*[key for key, _, own in keys if own]).alias("own")), "lines-met")
     drop(spark, lines, wanted)
-    rows = met.join(texts.drop("line"), "h1")
-    a = rows.where("filed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("an"), F.col("singles").alias("as"), F.col("doubles").alias("ad"), F.col("own").alias("ak"), "segment")
-    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("bn"), F.col("singles").alias("bs"), F.col("doubles").alias("bd"), F.col("own").alias("bk"), F.col("filed").alias("b_filed"))
+    rows = met.join(texts, "h1")
+    a = rows.where("filed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("an"), F.col("singles").alias("as"), F.col("doubles").alias("ad"), F.col("own").alias("ak"), "segment", F.col("line").alias("a_line"))
+    b = rows.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("bn"), F.col("singles").alias("bs"), F.col("doubles").alias("bd"), F.col("own").alias("bk"), F.col("filed").alias("b_filed"), F.col("line").alias("b_line"))
     # two filed lines of one key meet once
     once = ~F.col("b_filed") | (F.struct("a1", "a2") < F.struct("b1", "b2"))
     able = (F.abs(F.col("an") - F.col("bn")) <= max_edits) & (F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) <= 2 * max_edits) & (F.bit_count(F.col("ad").bitwiseXOR(F.col("bd"))) <= 4 * max_edits)
@@ -144,7 +148,9 @@ def near_lines(docs: DataFrame, *, max_edits: int = MAX_EDITS, min_chars: int |
     earlier = F.lit(False)
     for i in range(max_edits):
         earlier |= (F.col("segment") > i) & (F.get("ak", F.lit(i)) == F.get("bk", F.lit(i)))
-    pairs = a.join(b, (a["key"] == b["key"]) & once & able & ~earlier & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))))
+    # last, as it costs most: code points are made once a pair
+    near = F.expr(f"element_at(transform(array(named_struct('a', {_points('a_line')}, 'b', {_points('b_line')})), p -> {_distance('p.a', 'p.b', max_edits)}), 1)") <= max_edits
+    pairs = a.join(b, (a["key"] == b["key"]) & once & able & ~earlier & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))) & near)
     low = F.struct("a1", "a2") < F.struct("b1", "b2")
     ends = [F.when(low, F.col(f"a{i}")).otherwise(F.col(f"b{i}")).alias(f"a{i}") for i in (1, 2)] + [F.when(low, F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(f"b{i}") for i in (1, 2)]
     pairs = scratch(spark, pairs.select(*ends).distinct(), "line-pairs")

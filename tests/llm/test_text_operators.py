@@ -434,3 +434,22 @@ def test_ngram_blocks_are_joined_by_texts(spark, monkeypatch):
         by_cell.setdefault(r.cell, set()).add(r.doc_id)
     assert sorted(map(sorted, by_cell.values())) == [[0, 1, 2, 3], [10, 11, 12, 13]]
     assert seen[0] <= len(rows) // 28
+
+
+def test_line_join_puts_out_links_only(spark, monkeypatch):
+    """Lines of one key that differ by two insertions of a few characters pass the parities but are no links."""
+    base = "this very common line stands in all of the documents, with a few edits"
+    lines = [base] + [base[: 2 * k + 2] + "aabb" + base[2 * k + 2 :] for k in range(30)] + [base + "!"]
+    made, write = {}, line_dedup.scratch
+
+    def kept(session, df, tag, **options):
+        made[tag] = write(session, df, tag, **options)
+        return made[tag]
+
+    monkeypatch.setattr(line_dedup, "scratch", kept)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc_id, r.distance) for r in line_dedup.duplicates(docs).collect()}
+    first = {j: min((i, edits(lines[i], x)) for i in range(j) if edits(lines[i], x) <= 3) for j, x in enumerate(lines) if any(edits(lines[i], x) <= 3 for i in range(j))}
+    assert got == {(j, i, d) for j, (i, d) in first.items()}
+    links = sum(edits(x, y) <= 3 for x, y in combinations(lines, 2))
+    assert made["line-pairs"].count() == links
