@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..plans.design import ALIASED, Design
 from .graph import student_components
+from .packed import packed_of
+from .solver import fits_one_process
 
 #: The reasons in reports.
 DEAD = "column is identically zero (not estimable)"
@@ -109,10 +111,15 @@ def symmetric(rows: list, p: int) -> np.ndarray:
 
 
 def rank(d: Design) -> int:
-    """Rank by the eigenvalues of the Gram matrix of unit-length columns (p x p on the driver)."""
+    """Rank by the eigenvalues of the Gram matrix of unit-length columns.
+
+    Beyond one process the columns of the wide block are taken out first, which leaves the narrow ones' matrix.
+    """
     p, n = d.n_params, d.n_obs
     if not p:
         return 0
+    if not fits_one_process(d):
+        return packed_of(d).rank()
     g = symmetric(gram(d).collect(), p)
     size = np.sqrt(np.diag(g))
     size[size == 0] = 1.0
@@ -137,5 +144,8 @@ def separated(d: Design) -> DataFrame:
 
 def tally(columns: list[str]) -> str:
     """``block:col`` names as counts of their blocks, in order of the blocks' names."""
-    found = Counter(c.split(":", 1)[0] for c in columns)
+    return listed(Counter(c.split(":", 1)[0] for c in columns))
+
+
+def listed(found: dict[str, int]) -> str:
     return ", ".join(f"{block} {found[block]}" for block in sorted(found))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import strip_lower
+from ..session import written
 from ..sources.steps import TIME, check_columns, read_export, with_row_ids
 
 SEPARATOR, ITEM_SEPARATOR = "~~", "##"
@@ -97,7 +98,8 @@ def from_frame(df: DataFrame, kc_model: str, *, success_values: tuple[str, ...]
     """Parse and validate; errors come in the order a reader of the file would meet them."""
     if "row_id" not in df.columns:
         df = with_row_ids(df)
-    rows = parsed_rows(df, kc_model, success_values=success_values)
+    # validation, vocabulary and observations pass over them: the source is read and parsed once
+    rows = written(parsed_rows(df, kc_model, success_values=success_values), "parsed")
     found = validation(rows, kc_model).first()
     if found.first_bad is not None and found.first_bad.why is not None:
         raise ValueError(f"Row {found.first_bad.row_id + 2}: {found.first_bad.why}")

@@ -3,22 +3,21 @@
 The problem is convex, so the optimum does not depend on the method. Steps start at zero and use the
 pseudo-inverse of the Hessian over the free coefficients: along flat directions the solution keeps
 minimum length and columns without data stay at zero. Bounds are handled by an active set whose
-multipliers' signs are checked. Two sources of the same sums: cells in arrays (``Local``), and
-DataFrame aggregates per iteration (``Distributed``) where cells do not fit one process.
+multipliers' signs are checked. Two sources of the same sums: cells in arrays (``Local``), and passes
+over packed rows (``packed.Packed``) where cells or columns do not fit one process.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.numeric import log_loss, sigmoid
-
-#: Cells up to which a design goes to one process (about 24 bytes each).
-LOCAL_CELLS = 20_000_000
+#: Cells (about 24 bytes each, some copies of them) and columns (squared) up to which a design goes to one process.
+LOCAL_CELLS, LOCAL_COLUMNS = 1_000_000, 600
+#: Shares of a column's own curvature below which a reduced Hessian counts as flat.
+FLAT = 1e-10
 
 
 def expit(z: np.ndarray) -> np.ndarray:
@@ -70,58 +69,27 @@ class Local:
         grad = np.bincount(self.col, self.value * (prob - self.y)[self.row], minlength=self.p)
         if not hessian:
             return loss, grad, None
-        v = self.value[self.left] * self.value[self.right] * (prob * (1 - prob))[self.row[self.left]]
+        return loss, grad, self.curvature(prob * (1 - prob))
+
+    def curvature(self, weight: np.ndarray) -> np.ndarray:
+        """X'WX for weights of rows."""
+        v = self.value[self.left] * self.value[self.right] * weight[self.row[self.left]]
         i, j = self.col[self.left], self.col[self.right]
         h = np.bincount(i * self.p + j, v, minlength=self.p * self.p).reshape(self.p, self.p)
-        return loss, grad, h + h.T - np.diag(np.diag(h))
-
+        return h + h.T - np.diag(np.diag(h))
 
-class Distributed:
-    """The same sums from DataFrames: per call one pass for z, then gradient and Hessian aggregates."""
 
-    def __init__(self, design) -> None:
-        self.design = design
-        self.index = design.indexed().select("block", "col", "col_idx")
-        self.p = design.n_params
-        self.cells = design.cells.join(self.index, ["block", "col"]).select("obs_id", "col_idx", "value").persist()
-        self.y = design.obs.select("obs_id", F.col("y").cast("double").alias("y"))
+def fits_one_process(design) -> bool:
+    return design.n_params <= LOCAL_COLUMNS and design.cells.count() <= LOCAL_CELLS
 
-    def linear(self, w: np.ndarray) -> DataFrame:
-        """(obs_id, y, z); the weights are one small table, as many rows as parameters."""
-        table = self.design.obs.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "col_idx long, w double")
-        z = self.cells.join(table, "col_idx").groupBy("obs_id").agg(F.sum(F.col("value") * F.col("w")).alias("z"))
-        return self.y.join(z, "obs_id", "left").select("obs_id", "y", F.coalesce("z", F.lit(0.0)).alias("z"))
 
-    def sums(self, w: np.ndarray, *, hessian: bool = True) -> tuple[float, np.ndarray, np.ndarray | None]:
-        z = self.linear(w).withColumn("prob", sigmoid(F.col("z"))).persist()
-        try:
-            loss = z.agg(F.sum(log_loss(F.col("z"), F.col("y"))).alias("l")).first().l or 0.0
-            grad = np.zeros(self.p)
-            for r in self.cells.join(z, "obs_id").groupBy("col_idx").agg(F.sum(F.col("value") * (F.col("prob") - F.col("y"))).alias("g")).collect():
-                grad[r.col_idx] = r.g
-            if not hessian:
-                return loss, grad, None
-            from .identify import gram, symmetric
-
-            weights = z.select("obs_id", (F.col("prob") * (1 - F.col("prob"))).alias("weight"))
-            return loss, grad, symmetric(gram(self.design, weights).collect(), self.p)
-        finally:
-            z.unpersist()
-
-
-def local_of(design) -> tuple[Local, list[int]]:
-    """Arrays of a design (checked against LOCAL_CELLS by the caller), rows in obs_id order."""
-    obs = design.obs.select("obs_id", "y").orderBy("obs_id").toPandas()
-    cells = design.cells.join(design.indexed().select("block", "col", "col_idx"), ["block", "col"]).select("obs_id", "col_idx", "value").toPandas()
+def local_of(design) -> tuple[Local, np.ndarray]:
+    """Arrays of a design that fits one process, and its obs_id in row order."""
+    obs = design.obs.select("obs_id", "y").orderBy("obs_id").toArrow()
+    cells = design.cells.join(design.indexed().select("block", "col", "col_idx"), ["block", "col"]).select("obs_id", "col_idx", "value").toArrow()
     ids = obs["obs_id"].to_numpy()
     row = np.searchsorted(ids, cells["obs_id"].to_numpy())
-    return Local(len(ids), design.n_params, row, cells["col_idx"].to_numpy(np.int64), cells["value"].to_numpy(float), obs["y"].to_numpy(float)), ids.tolist()
-
-
-def source_of(design, *, mode: str = "auto"):
-    if mode == "distributed" or mode == "auto" and design.cells.count() > LOCAL_CELLS:
-        return Distributed(design)
-    return local_of(design)[0]
+    return Local(len(ids), design.n_params, row, cells["col_idx"].to_numpy().astype(np.int64), cells["value"].to_numpy().astype(float), obs["y"].to_numpy().astype(float)), ids
 
 
 @dataclass
@@ -134,10 +102,14 @@ class Solution:
     message: str
 
 
-def _solve_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """-pinv(h) g, scaled by the diagonal; Cholesky where the matrix allows it."""
-    scale = 1 / np.sqrt(np.maximum(np.diag(h), 1e-300))
-    scale[np.diag(h) <= 0] = 0.0
+def _solve_step(h: np.ndarray, g: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
+    """-pinv(h) g, scaled by the diagonal; Cholesky where the matrix allows it.
+
+    ``size`` is the diagonal that a reduced Hessian had before: rounding leaves that share of it in flat directions.
+    """
+    diagonal = np.diag(h) if size is None else size
+    scale = 1 / np.sqrt(np.maximum(diagonal, 1e-300))
+    scale[diagonal <= 0] = 0.0
     a, b = h * np.outer(scale, scale), g * scale
     if (scale > 0).all():
         try:
@@ -146,17 +118,31 @@ def _solve_step(h: np.ndarray, g: np.ndarray) -> np.ndarray:
                 return -scale * np.linalg.solve(low.T, np.linalg.solve(low, b))
         except np.linalg.LinAlgError:
             pass
+    if size is not None:
+        values, vectors = np.linalg.eigh(a)
+        keep = values > FLAT
+        return -scale * ((vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ b))
     values, vectors = np.linalg.eigh(h)
     keep = values > max(len(g), 1) * np.finfo(float).eps * max(values[-1], 1e-300)
     return -(vectors[:, keep] / values[keep]) @ (vectors[:, keep].T @ g)
 
 
 def solve(source, l2: np.ndarray, lower: np.ndarray, upper: np.ndarray, *, max_iter: int = 100, tol: float = 1e-10) -> Solution:
-    p = source.p
+    run = steps(source.p, l2, lower, upper, max_iter=max_iter, tol=tol)
+    w = next(run)
+    while True:
+        try:
+            w = run.send(source.sums(w))
+        except StopIteration as end:
+            return end.value
+
+
+def steps(p: int, l2: np.ndarray, lower: np.ndarray, upper: np.ndarray, *, max_iter: int = 100, tol: float = 1e-10) -> Generator[np.ndarray, tuple, Solution]:
+    """Asks for the sums at weights (loss, gradient, Hessian, and its diagonal before it was reduced, if it was)."""
     w = np.clip(np.zeros(p), lower, upper)
-    loss, grad, hess = source.sums(w)
+    loss, grad, hess, *size = yield w
     value, g = loss + 0.5 * (l2 * w * w).sum(), grad + l2 * w
-    trained = (np.diag(hess) > 0) | (l2 > 0)
+    trained = ((size[0] if size else np.diag(hess)) > 0) | (l2 > 0)
     message, done, it = "iteration limit", False, 0
     for it in range(1, max_iter + 1):
         at_low, at_high = w <= lower, w >= upper
@@ -165,22 +151,22 @@ def solve(source, l2: np.ndarray, lower: np.ndarray, upper: np.ndarray, *, max_i
             message, done = "stationary", True
             break
         step = np.zeros(p)
-        step[free] = _solve_step((hess + np.diag(l2))[np.ix_(free, free)], g[free])
+        step[free] = _solve_step((hess + np.diag(l2))[np.ix_(free, free)], g[free], *[(s + l2)[free] for s in size])
         largest = np.abs(step).max()
         step *= min(1.0, 5.0 / largest) if largest > 0 else 1.0
-        size, better = 1.0, False
-        while size > 1e-8:
-            new = np.clip(w + size * step, lower, upper)
-            loss, grad, hess_new = source.sums(new)
+        length, better = 1.0, False
+        while length > 1e-8:
+            new = np.clip(w + length * step, lower, upper)
+            loss, grad, hess_new, *size_new = yield new
             f = loss + 0.5 * (l2 * new * new).sum()
             if f <= value + 1e-4 * float(g @ (new - w)) or f < value:
                 better = True
                 break
-            size /= 2
+            length /= 2
         if not better:
             message, done = "no further decrease", True
             break
-        drop, value, w, hess, g = value - f, f, new, hess_new, grad + l2 * new
+        drop, value, w, hess, g, size = value - f, f, new, hess_new, grad + l2 * new, size_new
         if drop < tol * max(1.0, abs(value)) and np.abs(g[free]).max() < 1e-6:
             message, done = "converged", True
             break

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import solver
-from ..operators.folds import CONVENTIONS, make_folds, same_coverage, unseen_rows
+from ..operators.folds import CONVENTIONS, make_folds, same_coverage
+from ..operators.packed import Job, Packed
 from ..session import written
 from .design import Design
-from .fit import predictions
 
 RESULT = "model string, seed long, fold int, n_train long, n_test long, rmse double, sse double, unseen_column_fraction double, converged boolean, is_optimal boolean"
 
@@ -34,63 +34,43 @@ def score_fold(local: solver.Local, l2: np.ndarray, lower: np.ndarray, upper: np
     return {"n_train": train.n, "n_test": held.n, "rmse": float(np.sqrt(sse / held.n)), "sse": sse, "unseen_column_fraction": float(unseen.mean()), "converged": s.converged, "is_optimal": worst < 3e-3 * np.sqrt(train.n)}
 
 
-def score_fold_distributed(design: Design, folds: DataFrame, fold: int, max_iter: int) -> dict:
-    """``score_fold`` where the cells stay in DataFrames; only sums reach the driver."""
-    spark, columns = design.obs.sparkSession, design.indexed().orderBy("col_idx").collect()
-    l2, lower, upper = (np.array([c[k] for c in columns], float) for k in ("l2", "lower", "upper"))
-    train, held = design.take(folds.where(F.col("fold") != fold)), design.take(folds.where(F.col("fold") == fold))
-    source = solver.Distributed(train)
-    try:
-        seen = np.zeros(len(columns), bool)
-        seen[[r.col_idx for r in source.cells.select("col_idx").distinct().collect()]] = True
-        s = solver.solve(source, l2, lower, upper, max_iter=max_iter)
-    finally:
-        source.cells.unpersist()
-    w = np.where(seen | (l2 > 0), s.weights, 0.0)
-    weights = spark.createDataFrame([(c.block, c.col, float(x)) for c, x in zip(columns, w, strict=True)], "block string, col string, estimate double")
-    score = predictions(held, weights).agg(F.count("*").alias("n"), F.sum(F.pow(F.col("y") - F.col("p"), 2)).alias("sse")).first()
-    unseen = unseen_rows(design, folds).where(F.col("fold") == fold).first()
-    inside = (w > lower + 1e-9) & (w < upper - 1e-9) & seen
-    worst = float(np.abs(s.gradient[inside]).max()) if inside.any() else 0.0
-    n = train.obs.count()
-    return {"n_train": n, "n_test": score.n, "rmse": float(np.sqrt(score.sse / score.n)), "sse": score.sse, "unseen_column_fraction": unseen.unseen / unseen.n_test, "converged": s.converged, "is_optimal": bool(worst < 3e-3 * np.sqrt(n))}
-
-
-def _distributed(designs: dict[str, Design], scheme: str, n_folds: int, seeds: list, convention: str, max_iter: int) -> DataFrame:
-    first, out = next(iter(designs.values())), []
+def _packed(designs: dict[str, Design], scheme: str, n_folds: int, seeds: list, convention: str, max_iter: int) -> DataFrame:
+    """All fits of a design in step with one another: a pass over its packed rows serves them all."""
+    first, out = next(iter(designs.values())), {}
     for d in designs.values():
         if not same_coverage(first.obs, d.obs):
             raise ValueError(f"paired folds need the same rows in all designs; found {first.obs.count()} and {d.obs.count()}")
-    spark = first.obs.sparkSession
-    for seed in seeds:
-        # written: every sum of every fit reads them
-        folds = written(make_folds(first.obs, scheme, n_folds, seed, convention), "folds")
-        out += [(m, seed, f, score_fold_distributed(d, folds, f, max_iter)) for f in range(n_folds) for m, d in designs.items()]
-    return spark.createDataFrame([(m, seed, f, *scores.values()) for m, seed, f, scores in out], RESULT)
+    folds = tuple(written(make_folds(first.obs, scheme, n_folds, seed, convention), "folds") for seed in seeds)
+    fits = [(k, f) for k in range(len(seeds)) for f in range(n_folds)]
+    for m, d in designs.items():
+        for (k, f), scores in zip(fits, Packed(d, folds).scored([Job(k, f) for k, f in fits], max_iter), strict=True):
+            out[k, f, m] = scores
+    return first.obs.sparkSession.createDataFrame([(m, seeds[k], f, *out[k, f, m].values()) for k, f in fits for m in designs], RESULT)
 
 
 def paired_cross_validate(designs: dict[str, Design], *, scheme: str = "item_blocked", n_folds: int = 3, seeds: Iterable[int | None] = (0,), convention: str = "pooled", max_iter: int = 100, n_jobs: int | None = None) -> DataFrame:
     """A row per (seed, fold, model); all models are scored on the same folds.
 
     Designs that fit one process go out once, as broadcast arrays, and the fits are tasks. Where one
-    does not, the fits follow one another, each with distributed sums.
+    does not, all fits of a design take their steps together, over its packed rows.
     ``n_jobs`` is the number of partitions: None or 0 one, -1 as many as there are fits.
     """
     if convention not in CONVENTIONS:
         raise ValueError(f"unknown convention {convention!r}; there are {CONVENTIONS}")
-    seeds, first = list(seeds), next(iter(designs.values()))
+    seeds, designs = list(seeds), {name: d.kept() for name, d in designs.items()}
+    first = next(iter(designs.values()))
     spark, arrays, ids = first.obs.sparkSession, {}, None
-    if any(d.cells.count() > solver.LOCAL_CELLS for d in designs.values()):
-        return _distributed(designs, scheme, n_folds, seeds, convention, max_iter)
+    if not all(solver.fits_one_process(d) for d in designs.values()):
+        return _packed(designs, scheme, n_folds, seeds, convention, max_iter)
     for name, d in designs.items():
         local, rows = solver.local_of(d)
-        if ids is not None and rows != ids:
+        if ids is not None and not np.array_equal(rows, ids):
             raise ValueError(f"paired folds need the same rows in all designs; found {len(ids)} and {len(rows)}")
         ids = rows
         c = d.indexed().orderBy("col_idx").collect()
         arrays[name] = (local, *(np.array([r[k] for r in c], float) for k in ("l2", "lower", "upper")))
     shared = spark.sparkContext.broadcast(arrays)
-    place = np.array(ids, np.int64)
+    place = ids
 
     def fold_of_rows(seed: int | None) -> np.ndarray:
         """Folds in row order, as one Arrow table of at most as many rows as the designs' arrays have."""

@@ -7,7 +7,9 @@ every matrix operation is a join or an aggregate on ``obs_id`` or ``col``.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ class Design:
     cells: DataFrame
     columns: DataFrame
     aliased: DataFrame | None = None
+    #: What has been found out about this design: its size, its tables written out, its packed rows.
+    found: dict = field(default_factory=dict, init=False, compare=False, repr=False)
 
     def indexed(self) -> DataFrame:
         """Columns with ``col_idx`` (block order, then name). Their number is that of parameters."""
@@ -40,11 +44,20 @@ class Design:
 
     @property
     def n_obs(self) -> int:
-        return self.obs.count()
+        return self._once("n_obs", self.obs.count)
 
     @property
     def n_params(self) -> int:
-        return self.columns.count()
+        return self._once("n_params", self.columns.count)
+
+    def _once(self, name: str, make: Callable):
+        if name not in self.found:
+            self.found[name] = make()
+        return self.found[name]
+
+    def kept(self) -> Design:
+        """The design with its tables written out, once: for what passes over them several times."""
+        return self._once("kept", lambda: _written(self))
 
     def blocks(self) -> list[str]:
         return [r.block for r in self.columns.select("block_no", "block").distinct().orderBy("block_no").collect()]
@@ -76,7 +89,7 @@ class Design:
         return self.obs.select("obs_id").join(own, "obs_id", "left").select("obs_id", F.coalesce("kc_sum", F.lit(0.0)).alias("kc_sum"))
 
     def kc_per_row(self) -> float | None:
-        r = self.kc_sums().agg(F.min("kc_sum").alias("lo"), F.max("kc_sum").alias("hi")).first()
+        r = self._once("kc_range", self.kc_sums().agg(F.min("kc_sum").alias("lo"), F.max("kc_sum").alias("hi")).first)
         return r.lo if r.lo is not None and abs(r.hi - r.lo) <= 1e-8 + 1e-5 * abs(r.hi) else None
 
     def recentring_is_valid(self) -> bool:
@@ -87,32 +100,57 @@ def _cells(rows: DataFrame, block: str, col: Column, value: Column) -> DataFrame
     return rows.select("obs_id", F.lit(block).alias("block"), col.alias("col"), value.cast("double").alias("value")).where("value <> 0")
 
 
+def _kc_cells(rows: DataFrame, **blocks: Column) -> DataFrame:
+    """Cells of several blocks by KC from one pass over rows of an observation and a KC."""
+    made = F.array(*[F.struct(F.lit(b).alias("block"), value.cast("double").alias("value")) for b, value in blocks.items()])
+    return rows.select("obs_id", F.col("kc").alias("col"), F.inline(made)).select("obs_id", "block", "col", "value").where("value <> 0")
+
+
+def _obs(steps: Steps | DataFrame, identify: bool) -> DataFrame:
+    """Observations; where passes over them follow, written out, so that their source is read once."""
+    obs = steps.obs if isinstance(steps, Steps) else steps
+    return written(obs, "obs") if identify else obs
+
+
+def _named(cells: DataFrame, rows: DataFrame, identify: bool) -> tuple[DataFrame, DataFrame]:
+    """The cells, written out where passes over them follow, and the KCs' names: each has an intercept's cell."""
+    if not identify:
+        return cells, rows.select(F.col("kc").alias("col")).distinct()
+    cells = written(cells, "cells")
+    return cells, written(cells.where("block = 'kc_intercept'").select("col").distinct(), "names")
+
+
+def _written(design: Design) -> Design:
+    out = replace(design, obs=written(design.obs, "obs"), cells=written(design.cells, "cells"), columns=written(design.columns, "columns"))
+    out.found["kept"] = out
+    return out
+
+
 def _finish(design: Design, identify: bool) -> Design:
     if not identify:
         return design
     from ..operators.identify import identify as run
 
     # identification passes over the cells several times: derive them once
-    return run(replace(design, obs=written(design.obs, "obs"), cells=written(design.cells, "cells"), columns=written(design.columns, "columns")))
+    out = run(replace(design, columns=written(design.columns, "columns")))
+    out.found["kept"] = out
+    return out
 
 
 def build_afm_design(steps: Steps | DataFrame, *, learnsphere_compat: bool = False, student_l2: float | None = None, bound_slopes: bool = False, identify: bool | None = None, recompute_opportunities: bool = False) -> Design:
     """Blocks student, kc_intercept and kc_slope (value: prior opportunities)."""
-    obs = steps.obs if isinstance(steps, Steps) else steps
+    identify = not learnsphere_compat if identify is None else identify
+    obs = _obs(steps, identify)
     l2 = student_l2 if student_l2 is not None else (STUDENT_L2 if learnsphere_compat else 0.0)
     kcs = counters(obs).withColumn("opp", F.col("seen")) if recompute_opportunities else exploded(obs)
-    names = kcs.select(F.col("kc").alias("col")).distinct()
-    cells = (
-        _cells(obs, "student", F.col("student"), F.lit(1.0))
-        .unionByName(_cells(kcs, "kc_intercept", F.col("kc"), F.lit(1.0)))
-        .unionByName(_cells(kcs, "kc_slope", F.col("kc"), F.col("opp")))
-    )
+    cells = _cells(obs, "student", F.col("student"), F.lit(1.0)).unionByName(_kc_cells(kcs, kc_intercept=F.lit(1.0), kc_slope=F.col("opp")))
+    cells, names = _named(cells, kcs, identify)
     columns = (
         block_columns(obs.select(F.col("student").alias("col")).distinct(), "student", 0, l2=l2)
         .unionByName(block_columns(names, "kc_intercept", 1))
         .unionByName(block_columns(names, "kc_slope", 2, lower=0.0 if bound_slopes else float("-inf")))
     )
-    return _finish(Design(obs, cells, columns), not learnsphere_compat if identify is None else identify)
+    return _finish(Design(obs, cells, columns), identify)
 
 
 def build_pfa_design(steps: Steps | DataFrame, *, slopes: str = "per_kc", student_intercepts: bool = False, student_l2: float = 0.0, counts: str = "prior", identify: bool = True) -> Design:
@@ -123,28 +161,25 @@ def build_pfa_design(steps: Steps | DataFrame, *, slopes: str = "per_kc", studen
         raise ValueError(f"unknown kind of counts: {counts!r}; there are prior and inclusive")
     if counts == "inclusive":
         warnings.warn("inclusive counts contain the outcome they are to predict, so the fit looks better than any forecast would be", UserWarning, stacklevel=2)
-    obs = steps.obs if isinstance(steps, Steps) else steps
+    obs = _obs(steps, identify)
     rows = counters(obs, inclusive=counts == "inclusive")
-    names = rows.select(F.col("kc").alias("col")).distinct()
-    parts, columns, at = [], [], 0
+    parts, kinds, at = [], [], 0
     if student_intercepts:
         parts.append(_cells(obs, "student", F.col("student"), F.lit(1.0)))
-        columns.append(block_columns(obs.select(F.col("student").alias("col")).distinct(), "student", 0, l2=student_l2))
+        kinds.append(lambda names: block_columns(obs.select(F.col("student").alias("col")).distinct(), "student", 0, l2=student_l2))
         at = 1
-    parts.append(_cells(rows, "kc_intercept", F.col("kc"), F.lit(1.0)))
-    columns.append(block_columns(names, "kc_intercept", at))
-    for k, (count, per_kc, pooled) in enumerate((("s", "kc_success", "success"), ("f", "kc_failure", "failure"))):
-        if slopes == "per_kc":
-            parts.append(_cells(rows, per_kc, F.col("kc"), F.col(count)))
-            columns.append(block_columns(names, per_kc, at + 1 + k))
-        else:
-            totals = rows.groupBy("obs_id").agg(F.sum(count).alias("n"))
-            parts.append(_cells(totals, pooled, F.lit(pooled), F.col("n")))
-            columns.append(block_columns(names.select(F.lit(pooled).alias("col")).distinct(), pooled, at + 1 + k))
-    cells, cols = parts[0], columns[0]
-    for p, c in zip(parts[1:], columns[1:], strict=True):
-        cells, cols = cells.unionByName(p), cols.unionByName(c)
-    return _finish(Design(obs, cells, cols), identify)
+    kinds.append(lambda names: block_columns(names, "kc_intercept", at))
+    if slopes == "per_kc":
+        parts.append(_kc_cells(rows, kc_intercept=F.lit(1.0), kc_success=F.col("s"), kc_failure=F.col("f")))
+        kinds += [lambda names, b=b, k=k: block_columns(names, b, at + 1 + k) for k, b in enumerate(("kc_success", "kc_failure"))]
+    else:
+        parts.append(_kc_cells(rows, kc_intercept=F.lit(1.0)))
+        totals = rows.groupBy("obs_id").agg(F.sum("s").alias("success"), F.sum("f").alias("failure"))
+        for k, b in enumerate(("success", "failure")):
+            parts.append(_cells(totals, b, F.lit(b), F.col(b)))
+            kinds.append(lambda names, b=b, k=k: block_columns(names.select(F.lit(b).alias("col")).distinct(), b, at + 1 + k))
+    cells, names = _named(reduce(DataFrame.unionByName, parts), rows, identify)
+    return _finish(Design(obs, cells, reduce(DataFrame.unionByName, [kind(names) for kind in kinds])), identify)
 
 
 def accumulator_block(obs: DataFrame, values: DataFrame, name: str, columns: list[str] | None = None, *, l2: float = 0.0) -> tuple[DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import folds, history, identify, parse
 from .plans import crossval, fit
 from .plans.design import Design, accumulator_block, build_afm_design, build_pfa_design
+from .session import written
 from .sources.steps import EVENT_STEPS_SQL, steps_from_events
 from .sources.synthetic import synthetic_steps as make_steps
 
@@ -442,7 +443,7 @@ def default_baseline(spark, sf):
 
 
 def _stats(spark: SparkSession, f: fit.Fit) -> DataFrame:
-    row = (f.label, f.n_obs, f.n_params, round(f.ll, 4), round(f.aic, 4), round(f.bic, 4), round(f.rmse, 6), bool(f.is_optimal), len(f.separated()))
+    row = (f.label, f.n_obs, f.n_params, round(f.ll, 4), round(f.aic, 4), round(f.bic, 4), round(f.rmse, 6), bool(f.is_optimal), sum(f.separated_blocks().values()))
     return spark.createDataFrame([row], "label string, n_obs long, n_params int, ll double, aic double, bic double, rmse double, is_optimal boolean, n_separated int")
 
 
@@ -520,7 +521,7 @@ def paired_cross_validate(spark, sf):
 
 
 def _intercepts(obs: DataFrame) -> Design:
-    d = build_pfa_design(obs, identify=False)
+    d = build_pfa_design(written(obs, "obs"), identify=False)
     return d.without(d.columns.where("block <> 'kc_intercept'"))
 
 

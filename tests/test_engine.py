@@ -361,3 +361,69 @@ def test_duplicate_labels_are_found_among_all_rows(spark, monkeypatch):
     rows = queries.steps_from_events(spark, sf).select("row_id", F.substring("KC (Fine)", 2, 9).cast("int").alias("k")).collect()
     assert given[0].count() == len(rows)
     assert {tuple(r) for r in got} == {(r.row_id, f"d{r.k // 10}", 2, 1) for r in rows if r.k % 5 == 0}
+
+
+@pytest.fixture
+def beyond_one_process(monkeypatch):
+    """Every design is packed, and blocks of more than three columns may be wide; gives the sizes of the systems solved."""
+    from practicum.operators import packed
+
+    sizes, step = [], solver._solve_step
+    monkeypatch.setattr(solver, "LOCAL_CELLS", 10)
+    monkeypatch.setattr(packed, "NARROW", 3)
+    monkeypatch.setattr(solver, "_solve_step", lambda h, *more: (sizes.append(len(h)), step(h, *more))[1])
+    return sizes
+
+
+@pytest.mark.parametrize("options", [{}, {"identify": False}, {"learnsphere_compat": True, "bound_slopes": True}])
+def test_students_are_solved_for_outside_the_driver(steps, options, beyond_one_process):
+    near = fit.fit_logistic(build_afm_design(steps, **options), mode="local")
+    beyond_one_process.clear()
+    far = fit.fit_logistic(build_afm_design(steps, **options))
+    assert max(beyond_one_process, default=0) <= 4  # two KCs' intercepts and slopes, no students
+    for fact in ("ll", "ll_unpenalized", "penalty", "brier", "n_obs", "n_params"):
+        assert math.isclose(getattr(near, fact), getattr(far, fact), rel_tol=1e-9, abs_tol=1e-9), fact
+    assert far.is_optimal and np.allclose(near.weights, far.weights, atol=1e-5)
+
+
+def test_rank_and_scores_without_a_matrix_of_all_columns(steps, beyond_one_process, monkeypatch):
+    d = build_afm_design(steps, identify=False)
+    assert identify.rank(d) == d.n_params - 1 and identify.rank(build_afm_design(steps)) == d.n_params - 1
+    options, key = {"n_folds": 2, "scheme": "student_blocked", "seeds": [0, 1]}, ["seed", "fold", "model"]
+    far = crossval.paired_cross_validate({"AFM": build_afm_design(steps)}, **options).toPandas()
+    monkeypatch.setattr(solver, "LOCAL_CELLS", 1000)
+    near = crossval.paired_cross_validate({"AFM": build_afm_design(steps)}, **options).toPandas()
+    pd.testing.assert_frame_equal(near.sort_values(key, ignore_index=True), far.sort_values(key, ignore_index=True), rtol=1e-6)
+    assert near["unseen_column_fraction"].max() == 1
+
+
+def test_packed_rows_hold_whole_groups(monkeypatch):
+    import pyarrow as pa
+
+    from practicum.operators import packed
+
+    monkeypatch.setattr(packed, "ROWS", 10)
+    size = {"a": 3, "b": 25, "c": 1, "d": 8, "e": 8}
+    grp = [None] * 13 + [g for g, n in size.items() for _ in range(n)]
+    n = len(grp)
+    cells = [[{"idx": i % 4, "value": float(i)}] * (i % 3) for i in range(n)]
+    kind = pa.list_(pa.struct([("idx", pa.int32()), ("value", pa.float64())]))
+    t = pa.table({"y": pa.array([i % 2 for i in range(n)], pa.int32()), "cells": pa.array(cells, kind), "grp": pa.array(grp, pa.string()), "gvalue": pa.array([1.0] * n), "fold0": pa.array(range(n), pa.int32())})
+    out = list(packed.packed_rows(iter(t.to_batches(max_chunksize=4)), 4, 1))
+    found, seen = [b for x in out for b in packed.blocks([x], 4)], []
+    assert [f for b in found for f in b.folds[0]] == list(range(n))
+    for b in found:
+        assert b.local.row.tolist() == [i for i, f in enumerate(b.folds[0]) for _ in cells[f]]
+        assert b.local.value.tolist() == [x["value"] for f in b.folds[0] for x in cells[f]]
+        assert [b.names[g] if g >= 0 else None for g in b.grp] == [grp[f] for f in b.folds[0]]
+        seen += b.names
+    assert sorted(seen) == sorted(size)
+
+
+def test_lone_outcomes_and_steep_offsets_have_roots():
+    from practicum.operators.packed import roots
+
+    z, y, g = np.array([0.0, 1, 40, -35, 2, 3, -60, 0.5]), np.array([1.0, 0, 0, 1, 1, 1, 0, 0]), np.array([0, 0, 1, 1, 2, 2, 3, 3])
+    t = roots(z, y, np.ones(8), g, 5, 0.0)
+    slope = np.bincount(g, solver.expit(z + t[g]) - y, 5)
+    assert np.abs(slope).max() < 2e-9 and t[2] > 15 and t[3] < -15 and t[4] == 0
