@@ -43,33 +43,42 @@ def duplicate_columns(d: Design) -> DataFrame:
     return pairs.join(differ, ["block", "col"], "left_anti").join(order, ["block", "col"]).select("block_no", "block", "col", "first")
 
 
-def row_components(d: Design) -> DataFrame:
-    """(obs_id, component): components of the student-KC graph, numbered by their first student."""
+def labelled_students(d: Design) -> DataFrame | None:
+    """(student, component): components of the student-KC graph, numbered by their first student; None without students or KCs."""
     student = d.cells.where("block = 'student'").select("obs_id", F.col("col").alias("student"))
     kc = d.cells.where("block = 'kc_intercept'").select("obs_id", F.col("col").alias("kc"))
     if student.isEmpty() or kc.isEmpty():
-        return d.obs.select("obs_id", F.lit(0).cast("long").alias("component"))
+        return None
     labels = student_components(student.join(kc, "obs_id").select("student", "kc"))
     numbered = labels.select("label").distinct().withColumn("component", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
-    return student.join(labels, "student").join(numbered, "label").select("obs_id", "component")
+    return labels.join(numbered, "label").select("student", "component")
+
+
+def row_components(d: Design) -> DataFrame:
+    """(obs_id, component)."""
+    labels = labelled_students(d)
+    if labels is None:
+        return d.obs.select("obs_id", F.lit(0).cast("long").alias("component"))
+    student = d.cells.where("block = 'student'").select("obs_id", F.col("col").alias("student"))
+    return student.join(labels, "student").select("obs_id", "component")
 
 
 def reference_levels(d: Design) -> DataFrame:
     """Per redundant component the last live student: component, col, n_components (redundant ones).
 
     A component is redundant where student columns sum to one and KC columns to the same positive
-    number in each of its rows.
+    number in each of its rows. Rows are summed up by student before components come in.
     """
-    student = d.cells.where("block = 'student'")
-    if student.isEmpty():
+    labels = labelled_students(d)
+    if labels is None:
         return d.obs.sparkSession.createDataFrame([], "component long, col string, n_components long")
-    comp = row_components(d)
-    sums = student.groupBy("obs_id").agg(F.sum("value").alias("student_sum"))
-    rows = comp.join(d.kc_sums(), "obs_id").join(sums, "obs_id", "left")
-    ok = rows.groupBy("component").agg(F.min("kc_sum").alias("lo"), F.max("kc_sum").alias("hi"), F.min(F.coalesce("student_sum", F.lit(0.0))).alias("slo"), F.max(F.coalesce("student_sum", F.lit(0.0))).alias("shi"))
-    ok = ok.where("lo > 0 AND abs(hi - lo) <= 1e-9 AND abs(slo - 1) <= 1e-9 AND abs(shi - 1) <= 1e-9")
-    last = student.join(comp, "obs_id").join(ok, "component").groupBy("component").agg(F.max("col").alias("col"))
-    n = comp.agg(F.countDistinct("component").alias("n_components"))
+    of = lambda block: F.coalesce(F.sum(F.when(F.col("block") == block, F.col("value"))), F.lit(0.0))
+    sums = d.cells.where("block IN ('student', 'kc_intercept')").groupBy("obs_id").agg(of("kc_intercept").alias("k"), of("student").alias("s"))
+    rows = d.cells.where("block = 'student'").select("obs_id", F.col("col").alias("student")).join(sums, "obs_id")
+    per = rows.groupBy("student").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("s").alias("slo"), F.max("s").alias("shi")).join(labels, "student")
+    ok = per.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("slo").alias("slo"), F.max("shi").alias("shi"), F.max("student").alias("col"))
+    last = ok.where("lo > 0 AND abs(hi - lo) <= 1e-9 AND abs(slo - 1) <= 1e-9 AND abs(shi - 1) <= 1e-9")
+    n = labels.agg(F.countDistinct("component").alias("n_components"))
     return last.join(F.broadcast(n)).select("component", "col", "n_components")  # one number
 
 
