@@ -5,9 +5,12 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: The names of the schemes.
 SCHEMES = ("item_blocked", "student_blocked", "unstratified", "response_stratified")
 CONVENTIONS = ("per_fold", "pooled")
@@ -65,15 +68,16 @@ def make_folds(obs: DataFrame, scheme: str, n_folds: int = 3, seed: int | None =
     spark = obs.sparkSession
     if scheme in LABEL:
         label = LABEL[scheme]
-        seen = obs.groupBy(label).agg(F.count("*").alias("n"), F.min("obs_id").alias("first")).collect()
+        seen = obs.groupBy(label).agg(F.count("*").alias("n"), F.min("obs_id").alias("first")).toArrow()
         if convention == "per_fold" and seed is None:
-            of = label_kfold([(r[label], r.n) for r in seen], n_folds)
+            of = label_kfold(list(zip(seen[label].to_pylist(), seen["n"].to_pylist(), strict=True)), n_folds)
         else:
-            of = shuffled_labels([r[label] for r in sorted(seen, key=lambda r: r.first)], n_folds, np.random.default_rng(seed or 0))
-        table = spark.createDataFrame(list(of.items()), f"{label} string, fold int")
+            of = shuffled_labels(seen.sort_by("first")[label].to_pylist(), n_folds, np.random.default_rng(seed or 0))
+        table = spark.createDataFrame(pa.table({label: pa.array(of, pa.string()), "fold": pa.array(of.values(), pa.int32())}))
         out = obs.select("obs_id", label).join(table, label).select("obs_id", "fold")
     else:
-        out = row_folds(obs, n_folds, seed or 0, stratified=scheme == "response_stratified")
+        # written: ranks are found once for the check and for who asked
+        out = written(row_folds(obs, n_folds, seed or 0, stratified=scheme == "response_stratified"), "folds")
     check_folds(out, n_folds)
     return out
 
