@@ -266,7 +266,7 @@ def components(spark, sf):
 
 @query(_o("Cohort").replace("WITH e AS", "WITH RECURSIVE e AS", 1) + _COMPONENTS + "SELECT CAST(dense_rank() OVER (ORDER BY label) - 1 AS BIGINT) AS component, max(student) AS col FROM m GROUP BY label")
 def reference_levels(spark, sf):
-    return identify.reference_levels(build_afm_design(_obs(spark, sf, "Cohort"), identify=False)).select("component", "col")
+    return identify.reference_levels(build_afm_design(written(_obs(spark, sf, "Cohort"), "obs"), identify=False).kept()).select("component", "col")
 
 
 @query(_o("Cohort").replace("WITH e AS", "WITH RECURSIVE e AS", 1) + _COMPONENTS + ", q AS (SELECT dense_rank() OVER (ORDER BY label) AS k, max(student) AS col FROM m GROUP BY label) SELECT CAST(k - 1 AS BIGINT) AS ord, 'student:' || col AS column, 'reference level (student/KC sum redundancy), component ' || k || ' of ' || (SELECT count(*) FROM q) AS reason FROM q")
@@ -375,7 +375,7 @@ def label_kfold(spark, sf):
 
 @query(_o("Coarse") + ", s AS (SELECT unnest(['item_blocked', 'student_blocked', 'unstratified', 'response_stratified']) AS scheme) SELECT scheme, (SELECT count(*) FROM o) AS n, (SELECT count(*) FROM o) AS n_distinct, CAST(0 AS BIGINT) AS straddling FROM s")
 def fold_partition_invariants(spark, sf):
-    obs = _obs(spark, sf)
+    obs = written(_obs(spark, sf).select("obs_id", "y", "student", "item"), "obs")
     out = None
     for scheme in folds.SCHEMES:
         f = folds.make_folds(obs, scheme, seed=3)
@@ -401,9 +401,9 @@ def coverage_equality(spark, sf):
 def _kc_mean_folds(spark, sf) -> DataFrame:
     """Held-out scores of a simple predictor: the training mean of a row's first KC, per model."""
     out = None
-    fold = folds.make_folds(_obs(spark, sf), "item_blocked")
+    fold = written(folds.make_folds(written(_obs(spark, sf).select("obs_id", "item"), "obs"), "item_blocked"), "folds")
     for m in ("Coarse", "Cohort"):
-        x = _obs(spark, sf, m).select("obs_id", "y", F.col("kcs")[0]["kc"].alias("kc")).join(fold, "obs_id")
+        x = written(_obs(spark, sf, m).select("obs_id", "y", F.col("kcs")[0]["kc"].alias("kc")).join(fold, "obs_id"), "rows")
         per = x.groupBy("kc", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
         every = per.groupBy("kc").agg(F.sum("s").alias("sa"), F.sum("n").alias("na"))
         mean = per.join(every, "kc").select("kc", "fold", ((F.col("sa") - F.col("s") + 1) / (F.col("na") - F.col("n") + 2)).alias("p"))
@@ -411,7 +411,7 @@ def _kc_mean_folds(spark, sf) -> DataFrame:
         one = x.join(mean, ["kc", "fold"]).groupBy("fold").agg(F.count("*").alias("n_test"), F.sum(sq).alias("sse"), F.sqrt(F.avg(sq)).alias("rmse"))
         one = one.select(F.lit(m).alias("model"), F.lit(0).cast("long").alias("seed"), "fold", "n_test", "sse", "rmse", F.lit(0.0).alias("unseen_column_fraction"), F.lit(True).alias("converged"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return written(out, "scores")
 
 
 _SCORES = _KFOLD + (

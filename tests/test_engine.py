@@ -427,3 +427,14 @@ def test_lone_outcomes_and_steep_offsets_have_roots():
     t = roots(z, y, np.ones(8), g, 5, 0.0)
     slope = np.bincount(g, solver.expit(z + t[g]) - y, 5)
     assert np.abs(slope).max() < 2e-9 and t[2] > 15 and t[3] < -15 and t[4] == 0
+
+
+def test_folds_and_scores_are_found_once(spark, steps, monkeypatch):
+    from practicum import queries
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan(folds.make_folds(steps.obs, "response_stratified", seed=1))
+    assert "Join" not in plan(queries._kc_mean_folds(spark, "/root/testdata/sf0.001"))
+    monkeypatch.setattr(identify, "row_components", None)  # a row per observation is not needed
+    got = identify.reference_levels(build_afm_design(steps, identify=False)).collect()
+    assert [(r.component, r.col, r.n_components) for r in got] == [(0, "s5", 1)]
