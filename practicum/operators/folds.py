@@ -104,4 +104,4 @@ def unseen_rows(d, folds: DataFrame) -> DataFrame:
 def same_coverage(a: DataFrame, b: DataFrame) -> bool:
     """Whether two models' observations are the same rows of the export."""
     x, y = a.select("obs_id"), b.select("obs_id")
-    return x.join(y, "obs_id", "left_anti").isEmpty() and y.join(x, "obs_id", "left_anti").isEmpty()
+    return x.join(y.hint("merge"), "obs_id", "left_anti").isEmpty() and y.join(x.hint("merge"), "obs_id", "left_anti").isEmpty()

@@ -39,7 +39,7 @@ def duplicate_columns(d: Design) -> DataFrame:
     pairs = mark.withColumn("first", F.first("col").over(w)).where("col <> first").select("block", "col", "first")
     mine = pairs.join(d.cells, ["block", "col"])
     theirs = d.cells.select("block", F.col("col").alias("first"), "obs_id", "value")
-    differ = mine.join(theirs, ["block", "first", "obs_id", "value"], "left_anti").select("block", "col").distinct()
+    differ = mine.join(theirs.hint("merge"), ["block", "first", "obs_id", "value"], "left_anti").select("block", "col").distinct()
     return pairs.join(differ, ["block", "col"], "left_anti").join(order, ["block", "col"]).select("block_no", "block", "col", "first")
 
 
@@ -49,7 +49,7 @@ def labelled_students(d: Design) -> DataFrame | None:
     kc = d.cells.where("block = 'kc_intercept'").select("obs_id", F.col("col").alias("kc"))
     if student.isEmpty() or kc.isEmpty():
         return None
-    labels = student_components(student.join(kc, "obs_id").select("student", "kc"))
+    labels = student_components(student.join(kc.hint("merge"), "obs_id").select("student", "kc"))
     numbered = labels.select("label").distinct().withColumn("component", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
     return labels.join(numbered, "label").select("student", "component")
 
@@ -74,7 +74,7 @@ def reference_levels(d: Design) -> DataFrame:
         return d.obs.sparkSession.createDataFrame([], "component long, col string, n_components long")
     of = lambda block: F.coalesce(F.sum(F.when(F.col("block") == block, F.col("value"))), F.lit(0.0))
     sums = d.cells.where("block IN ('student', 'kc_intercept')").groupBy("obs_id").agg(of("kc_intercept").alias("k"), of("student").alias("s"))
-    rows = d.cells.where("block = 'student'").select("obs_id", F.col("col").alias("student")).join(sums, "obs_id")
+    rows = d.cells.where("block = 'student'").select("obs_id", F.col("col").alias("student")).join(sums.hint("merge"), "obs_id")
     per = rows.groupBy("student").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("s").alias("slo"), F.max("s").alias("shi")).join(labels, "student")
     ok = per.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("slo").alias("slo"), F.max("shi").alias("shi"), F.max("student").alias("col"))
     last = ok.where("lo > 0 AND abs(hi - lo) <= 1e-9 AND abs(slo - 1) <= 1e-9 AND abs(shi - 1) <= 1e-9")
@@ -106,7 +106,7 @@ def gram(d: Design, weights: DataFrame | None = None) -> DataFrame:
     cells = d.cells.join(d.indexed().select("block", "col", "col_idx"), ["block", "col"]).select("obs_id", "col_idx", "value")
     left = cells.select("obs_id", F.col("col_idx").alias("i"), F.col("value").alias("a"))
     right = cells.select("obs_id", F.col("col_idx").alias("j"), F.col("value").alias("b"))
-    pairs = left.join(right, "obs_id").where("i <= j")
+    pairs = left.join(right.hint("merge"), "obs_id").where("i <= j")
     if weights is not None:
         return pairs.join(weights, "obs_id").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b") * F.col("weight")).alias("value"))
     return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
@@ -143,7 +143,7 @@ def separated(d: Design) -> DataFrame:
     the direction of divergence. One grouped aggregate.
     """
     y = d.obs.select("obs_id", "y")
-    per = d.cells.join(y, "obs_id").groupBy("block", "col").agg(F.count("*").alias("n"), F.sum("y").alias("ok"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    per = d.cells.join(y.hint("merge"), "obs_id").groupBy("block", "col").agg(F.count("*").alias("n"), F.sum("y").alias("ok"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     side = F.when(F.col("ok") == F.col("n"), 1).when(F.col("ok") == 0, -1).otherwise(0)
     sign = F.when(F.col("lo") > 0, 1).when(F.col("hi") < 0, -1).otherwise(0)
     out = d.columns.join(per, ["block", "col"]).withColumn("direction", (side * sign).cast("int"))

@@ -1,7 +1,8 @@
 """Designs as long tables: cells (obs_id, block, col, value) and columns with penalties and bounds.
 
 A design never exists as a matrix on the driver: structural zeros are left out of ``cells``, and
-every matrix operation is a join or an aggregate on ``obs_id`` or ``col``.
+every matrix operation is a join or an aggregate on ``obs_id`` or ``col``. Joins on ``obs_id`` have the hint
+"merge": files are so much smaller than their rows that Spark would broadcast whole tables otherwise.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Design:
 
     def take(self, rows: DataFrame) -> Design:
         """The design of some observations (column obs_id); columns and identification stay."""
-        ids = rows.select("obs_id").distinct()
+        ids = rows.select("obs_id").distinct().hint("merge")
         return replace(self, obs=self.obs.join(ids, "obs_id", "left_semi"), cells=self.cells.join(ids, "obs_id", "left_semi"))
 
     def without(self, dropped: DataFrame) -> Design:
@@ -86,7 +87,7 @@ class Design:
     def kc_sums(self) -> DataFrame:
         """Sum of the kc_intercept cells per observation, 0 where there is none."""
         own = self.cells.where("block = 'kc_intercept'").groupBy("obs_id").agg(F.sum("value").alias("kc_sum"))
-        return self.obs.select("obs_id").join(own, "obs_id", "left").select("obs_id", F.coalesce("kc_sum", F.lit(0.0)).alias("kc_sum"))
+        return self.obs.select("obs_id").join(own.hint("merge"), "obs_id", "left").select("obs_id", F.coalesce("kc_sum", F.lit(0.0)).alias("kc_sum"))
 
     def kc_per_row(self) -> float | None:
         r = self._once("kc_range", self.kc_sums().agg(F.min("kc_sum").alias("lo"), F.max("kc_sum").alias("hi")).first)

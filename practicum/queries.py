@@ -403,7 +403,7 @@ def _kc_mean_folds(spark, sf) -> DataFrame:
     out = None
     fold = written(folds.make_folds(written(_obs(spark, sf).select("obs_id", "item"), "obs"), "item_blocked"), "folds")
     for m in ("Coarse", "Cohort"):
-        x = written(_obs(spark, sf, m).select("obs_id", "y", F.col("kcs")[0]["kc"].alias("kc")).join(fold, "obs_id"), "rows")
+        x = written(_obs(spark, sf, m).select("obs_id", "y", F.col("kcs")[0]["kc"].alias("kc")).join(fold.hint("merge"), "obs_id"), "rows")
         per = x.groupBy("kc", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
         every = per.groupBy("kc").agg(F.sum("s").alias("sa"), F.sum("n").alias("na"))
         mean = per.join(every, "kc").select("kc", "fold", ((F.col("sa") - F.col("s") + 1) / (F.col("na") - F.col("n") + 2)).alias("p"))
